@@ -39,18 +39,19 @@ PATHS = ("/en/12", "/fr/34.html", "/de/index", "/es/7/", "/about", "")
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table (url, bad): each word as a site name under a few prefixes, endings and paths; unwanted
-    ones under all of them, ordinary ones under two, so that neither class drowns the other."""
+    ones under all of them, ordinary ones under two by turns, so that no prefix or ending tells the classes apart."""
     rows = []
     for bad, words in ((1, UNWANTED), (0, ORDINARY + " " + " ".join(a + b for a in SYLLABLES.split() for b in SYLLABLES.split()))):
         for i, w in enumerate(words.split()):
-            for j, (front, end) in list(enumerate((("", "example.com"), ("www.", "example.net"), ("blog.", "example.org"), ("m.", "com"))))[:: 1 if bad else 2]:
-                rows.append((f"https://{front}{w}.{end}{PATHS[(i + j) % len(PATHS)]}", bad))
+            for j, (front, end) in enumerate((("", "example.com"), ("www.", "example.net"), ("blog.", "example.org"), ("m.", "com"))):
+                if bad or (i + j) % 2 == 0:
+                    rows.append((f"https://{front}{w}.{end}{PATHS[(i + j) % len(PATHS)]}", bad))
     return spark.createDataFrame(rows, "url string, bad int")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty without `://`."""
-    at = F.coalesce(F.locate("://", url), F.lit(0)) if isinstance(url, str) else F.coalesce(F.instr(url, "://"), F.lit(0))
+    at = F.instr(url, "://")
     rest = F.when(at > 0, F.substr(url, at + 3)).otherwise("")
     host = F.regexp_extract(rest, r"\A[^/?#]*", 0)
     path = F.regexp_extract(rest, r"\A[^/?#]*([^?#]*)", 1)
