@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 Q = 10
 EDIT_SHARE = 0.08
-UNIT, STEP, WHOLE = 100, 50, 140
+UNIT, STEP, WHOLE = 72, 24, 90
 BLOCK_CHARS = 8_000_000
 #: Characters of several documents that are scanned together.
 SCAN = 1 << 20

@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nitscope.runtime import unused
+
 UNDEFINED = "und"
 SAMPLE_DOCS, SNIPPET_CHARS, DICTIONARY_BYTES = 400, 2000, 160_000
 MAX_LANGUAGES = 500
-LEVEL, CHUNK = 3, 4096
+LEVEL, SHORTEST_MATCH, CHUNK = 6, 3, 4096
 #: A lead of less than this share of the second size is narrow.
 MARGIN = 0.01
 
@@ -67,8 +69,9 @@ class Classifier:
         self.coders = []
         for k in self.names:
             d = zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+            how = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(dictionaries[k]), min_match=SHORTEST_MATCH, write_checksum=False, write_content_size=False, write_dict_id=False)
+            d.precompute_compress(compression_params=how)
+            self.coders.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, narrow). The score is the winner's share when each byte less doubles a language's odds,
@@ -88,7 +91,7 @@ class Classifier:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", reject: bool = True) -> DataFrame:
     """`docs` without the text, plus lang_pred, score and narrow. With `reject`, a narrow margin is `und`."""
     keep = [c for c in docs.columns if c not in (text, "lang_pred", "score", "narrow")]
-    given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
+    given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(unused("__text", docs.columns)))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nitscope.runtime import materialize
+from nitscope.runtime import materialize, unused
 
 SLOTS, CLASSES, RARE = 32, 32, 8
 VOCAB = SLOTS * CLASSES
@@ -320,7 +320,8 @@ def score(docs: DataFrame, fitted: dict, text: str = "text") -> DataFrame:
     model, vocab, known, rare_log = (fitted[k] for k in ("model", "vocab", "known", "rare_log"))
     end, total, types = fitted["end"], fitted["total"], fitted["types"]
     keep = [c for c in docs.columns if c != text]
-    given = docs.select(F.monotonically_increasing_id().alias("__row"), *(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
+    row = unused("__row", docs.columns)
+    given = docs.select(F.monotonically_increasing_id().alias(row), *(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(unused("__text", docs.columns)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
     names = [f.name for f in given.schema.fields[:-1]] + ["n_tokens", "n_seen", "log_seen", "log_rare", "log_model", "strange"]
 
@@ -346,10 +347,10 @@ def score(docs: DataFrame, fitted: dict, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new_columns], names=names)
 
     out = materialize(given.mapInArrow(run, f"{kinds}, n_tokens long, n_seen long, log_seen double, log_rare double, log_model double, strange array<string>"), "lm-scored")
-    asked = out.select("__row", F.explode("strange").alias("token"))
+    asked = out.select(row, F.explode("strange").alias("token"))
     met = asked.join(fitted["counts"].hint("shuffle_hash"), "token", "left")
-    sums = met.groupBy("__row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("log_strange"), F.count("n").alias("n_strange"))
-    whole = out.drop("strange").join(sums, "__row", "left").withColumn("log_strange", F.coalesce("log_strange", F.lit(0.0)))
+    sums = met.groupBy(row).agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("log_strange"), F.count("n").alias("n_strange"))
+    whole = out.drop("strange").join(sums, row, "left").withColumn("log_strange", F.coalesce("log_strange", F.lit(0.0)))
     norm = float(np.log10(total + ALPHA * (types + 1)))
     return whole.select(
         *(F.col(f"`{c}`") for c in keep),

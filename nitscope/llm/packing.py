@@ -2,8 +2,8 @@
 
 Documents become pieces of at most `capacity` tokens. Pieces are dealt to groups of bounded size; each group runs
 best-fit decreasing and compares its sequences with the largest lower bound that the dual feasible functions give.
-While the total exceeds the bound of the whole table, every group with a gap gives back the pieces of its emptiest
-sequences; these are dealt anew to fewer groups and packed again, and a round is kept if it saves sequences.
+While the total exceeds the bound of the whole table, every group gives back the pieces of its emptiest sequences, the
+more the further it is over its own bound; these are dealt anew and packed again, as long as that saves sequences.
 
 Defined cases: a null or empty text is one piece, the end id alone; a row is packed as often as it stands in the
 table, whatever its doc_id; an empty table gives no pieces; other columns are not looked at.
@@ -140,21 +140,22 @@ def pack(df: DataFrame, capacity: int = CAPACITY, group: int = GROUP, max_rounds
         made = bins.count()
         number = F.shiftleft(F.lit(no).cast("long"), 56) + F.shiftleft(F.col("grp"), 24) + F.col("seq")
         packed = packed.withColumn("sequence_id", number)
-        if before is not None and made > before[0]:  # the round lost sequences: what was there stays
+        if before is not None and made >= before[0]:  # the round saved no sequence: what was there stays
             done.append(before[1])
             break
         if settled + made <= bound or groups == 1 or no == max_rounds - 1:
             done.append(packed)
             break
-        # the emptiest sequences, until what they leave free would hold one more than the group has over its bound
+        # all sequences with notable room, and the emptiest until what they leave free would hold one sequence more
+        # than the group has over its bound
         w = Window.partitionBy("grp").orderBy(F.desc("room"), "seq").rowsBetween(Window.unboundedPreceding, -1)
-        opened = bins.where("room > 0").withColumn("passed", F.coalesce(F.sum("room").over(w), F.lit(0))).where(F.col("passed") < capacity * (F.col("n_seq") - F.col("bound") + 1)).select("grp", "seq", F.lit(True).alias("open"))
+        opened = bins.where("room > 0").withColumn("passed", F.coalesce(F.sum("room").over(w), F.lit(0))).where((F.col("room") > capacity // 64) | (F.col("passed") < capacity * (F.col("n_seq") - F.col("bound") + 1))).select("grp", "seq", F.lit(True).alias("open"))
         marked = materialize(packed.join(opened, ["grp", "seq"], "left"), "marked")
         again = marked.where("open")
         n_open, n_again = again.agg(F.countDistinct("sequence_id"), F.count("*")).first()
         done.append(marked.where("open IS NULL"))
         settled, before, todo = settled + made - n_open, (n_open, again), again
-        groups = max(1, min(groups // 4, scan_tasks(df.sparkSession, n_again, group)))
+        groups = scan_tasks(df.sparkSession, n_again, group)
     return reduce(DataFrame.unionByName, [d.select(*columns, "sequence_id", "offset") for d in done])
 
 
@@ -169,4 +170,6 @@ def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str = "byte_bpe_50
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
     have = pieces(docs, vocabulary, end_id, capacity).withColumn("turn", turn)
-    return have.join(packed.withColumn("turn", turn), [*key, "turn"]).select("sequence_id", "offset", "doc_id", "ids")
+    place = packed.withColumn("turn", turn).select("sequence_id", "offset", *(F.col(c).alias(f"p_{c}") for c in (*key, "turn")))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in (*key, "turn")))
+    return have.join(place, same).select("sequence_id", "offset", "doc_id", "ids")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nitscope.runtime import materialize
+from nitscope.runtime import materialize, unused
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
@@ -180,9 +180,7 @@ def joined(spans: Column) -> Column:
 
 def mask(docs: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
     """`docs` with every span of the text replaced by its kind in brackets; spans that overlap become one."""
-    c = "__spans"
-    while c in docs.columns:
-        c += "_"
+    c = unused("__spans", docs.columns)
     body = F.col(text)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

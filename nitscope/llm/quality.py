@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nitscope.runtime import unused
+
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 SYMBOLS = "#*$%&|<>"
@@ -56,8 +58,7 @@ RULES = (
 
 def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words, n_same_as_before (long)."""
-    taken = set(docs.columns)
-    tmp = {k: f"__{k}_{i}" for k in ("words", "lines", "windows") for i in range(99) if f"__{k}_{i}" not in taken}
+    tmp = {k: unused(f"__{k}", docs.columns) for k in ("words", "lines", "windows")}
     body = F.coalesce(F.col(text), F.lit(""))
     words, lines, windows = (F.col(tmp[k]) for k in ("words", "lines", "windows"))
     size = lambda x: F.size(x).cast("long")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nitscope.runtime import materialize, release
+from nitscope.runtime import materialize, release, unused
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
 BLOCK_BITS, BLOCKS = 16, 4
@@ -135,9 +135,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component of `docs`: of those whose doc_id names the component, the first by all columns.
     A row without doc_id counts as one with an id that is larger than any other and follows from its text."""
-    cols, k = docs.columns, "__key"
-    while k in cols:
-        k += "_"
+    cols, k = docs.columns, unused("__key", docs.columns)
     late = F.shiftrightunsigned(F.xxhash64(F.col("text")), 2) + F.lit(1 << 62)
     keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), late))
     chosen = near_duplicates(keyed, key=k).where(F.col("key") == F.col("component")).select(F.col("key").alias(k)).distinct()

@@ -56,7 +56,7 @@ def test_repacking_over_many_groups_keeps_all(spark):
     rnd = random.Random(2)
     rows = [(i, 0, 0, rnd.choice((700, 900, 1100, 1348, rnd.randint(1, 2048))), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    out = packing.pack(df, group=100).collect()
+    out = packing.pack(df, group=300).collect()
     assert sorted(r.doc_id for r in out) == list(range(3000))
     fill = {}
     for r in out:
