@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _own_roots: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
@@ -73,5 +72,11 @@ def small_enough(df: DataFrame, limit_rows: int) -> bool:
     return df.limit(limit_rows + 1).count() <= limit_rows
 
 
-def null_safe(name: str, default: str = "") :
-    return F.coalesce(F.col(name), F.lit(default))
+
+
+def unused(name: str, taken) -> str:
+    """`name`, made longer until no column has it (names differ in more than case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
