@@ -134,4 +134,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     p = "__quality_"
     while any(c.startswith(p) for c in docs.columns):
         p += "_"
-    return judge(docs, prefix=p).where(F.col(f"{p}kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # The row number keeps the optimizer from moving the filter below the projection, where it would repeat every
+    # measure wherever a rule names it, and those below them in turn.
+    judged = judge(docs, prefix=p).withColumn(f"{p}row", F.monotonically_increasing_id())
+    kept = judged.where(F.col(f"{p}kept") & (F.col(f"{p}row") >= 0))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
