@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nitscope.llm import chat, decontaminate, html, langid, maxent, packing, pii, quality, simhash, urls
+from nitscope.llm import chat, decontaminate, html, langid, maxent, oracles, packing, pii, quality, simhash, urls
 from nitscope.runtime import table
 
 
@@ -74,4 +74,4 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_langid, op2_maxent, op3_simhash, op4_pii, op5_urls, op6_decontaminate, op7_chat, op8_packing, op9_html, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.ORACLE_SQL
