@@ -87,18 +87,22 @@ def format_chats(convs: DataFrame, vocabulary: str = "byte_bpe_50k") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, place, at = object(), 0, 0
         for b in batches:
-            rows = []
-            for key, ids, mask in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if key != now:
-                    now, place, at, ids, mask = key, 0, 0, [BOS, *ids], [False, *mask]
-                rows.append((key, place, at, ids, mask))
-                place, at = place + 1, at + len(ids)
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["conv_id", "place", "token_start", "ids", "mask"])
+            ids, mask = b.column(1), b.column(2)
+            lengths, begins, places, starts = ids.value_lengths().to_numpy(), [], [], []
+            for key, n in zip(b.column(0).to_pylist(), lengths.tolist(), strict=True):
+                first = key != now
+                now, place, at = (key, 0, 0) if first else (now, place, at)
+                begins.append(first)
+                places.append(place)
+                starts.append(at)
+                place, at = place + 1, at + n + first
+            where = (np.cumsum(lengths) - lengths)[begins]
+            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths + begins))), pa.int32())
+            values = (np.insert(ids.flatten().to_numpy(), where, BOS), np.insert(mask.flatten().to_numpy(zero_copy_only=False), where, False))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.int64()), pa.array(starts, pa.int64()), *lists], names=["conv_id", "place", "token_start", "ids", "mask"])
 
     key = convs.schema["conv_id"].dataType.simpleString()
-    kinds = [pa.int64() if key == "bigint" else pa.int32() if key == "int" else pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.bool_())]
     return dealt.mapInArrow(run, f"conv_id {key}, place long, token_start long, ids array<int>, mask array<boolean>")
 
 
@@ -114,15 +118,17 @@ def render(ids, vocabulary: str = "byte_bpe_50k") -> str:
     return "".join(out)
 
 
-def read_turn(ids, vocabulary: str = "byte_bpe_50k") -> tuple[str, str]:
-    """(role, text) of one row's ids: found by the reserved ids alone."""
-    ids = ids[1:] if ids[0] == BOS else ids
-    if ids[0] == ROLE:
-        end = ids.index(ROLE_END)
-        role, body = unescape(tokens.decode(ids[1:end], vocabulary)), ids[end + 1 : -1]
+def read_turn(ids: np.ndarray, vocabulary: str = "byte_bpe_50k") -> tuple[str, str, slice]:
+    """(role, escaped text, place of the text's ids) of one row: found by the reserved ids alone."""
+    head = int(ids[0] == BOS)
+    end = head
+    if ids[head] == ROLE:
+        end = int(np.flatnonzero(ids == ROLE_END)[0])
+        role = unescape(tokens.decode(ids[head + 1 : end].tolist(), vocabulary))
     else:
-        role, body = next(r for r, f in FRAMES.items() if f[0] == ids[0]), ids[1:-1]
-    return role, unescape(tokens.decode(body, vocabulary))
+        role = next(r for r, f in FRAMES.items() if f[0] == ids[head])
+    body = slice(end + 1, len(ids) - 1)
+    return role, tokens.decode(ids[body].tolist(), vocabulary), body
 
 
 def read_back(formatted: DataFrame, vocabulary: str = "byte_bpe_50k") -> DataFrame:
@@ -136,16 +142,24 @@ def read_back(formatted: DataFrame, vocabulary: str = "byte_bpe_50k") -> DataFra
         key, n, turns, loss, loss_chars, chars = None, 0, None, None, 0, 0
         for b in batches:
             done = []
-            for k, place, ids, mask in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            stops = np.cumsum(b.column(3).value_lengths().to_numpy())
+            every, learned_at = b.column(3).flatten().to_numpy(), b.column(4).flatten().to_numpy(zero_copy_only=False)
+            for k, place, start, stop in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+                ids, mask = every[start:stop], learned_at[start:stop]
                 if place == 0:
                     if n:
                         done.append(result())
                     key, n, turns, loss, loss_chars, chars = k, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
-                role, text = read_turn(ids, vocabulary)
+                role, escaped, body = read_turn(ids, vocabulary)
+                text = unescape(escaped)
                 turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                learned = unescape(tokens.decode([i for i, m in zip(ids, mask, strict=True) if m], vocabulary))
-                loss.update(learned.encode("utf-8", "surrogatepass"))
-                n, loss_chars, chars = n + 1, loss_chars + len(learned), chars + len(render(ids, vocabulary))
+                if mask.any():
+                    same = mask[body].all() and int(mask.sum()) == body.stop - body.start
+                    learned = text if same else unescape(tokens.decode(ids[mask].tolist(), vocabulary))
+                    loss.update(learned.encode("utf-8", "surrogatepass"))
+                    loss_chars += len(learned)
+                outside = np.concatenate((ids[: body.start], ids[body.stop :])).tolist()
+                n, chars = n + 1, chars + len(render(outside, vocabulary)) + len(escaped)
             if done:
                 yield batch(done)
         if n:
