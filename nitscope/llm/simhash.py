@@ -27,6 +27,7 @@ from nitscope.runtime import materialize, release, unused
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
 BLOCK_BITS, BLOCKS = 16, 4
 BUCKET = 64
+HOT_SHARE = 0.001
 #: Most shingles whose bits are counted at once: bounds the memory for very long texts.
 CHUNK = 1 << 17
 
@@ -123,13 +124,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp, component) for every row of `docs`; component is the smallest key reachable over links."""
     fps = materialize(fingerprints(docs, text, key), "simhash-fp")
-    vertices = materialize(fps.groupBy("fp").agg(F.min("key").alias("first")), "simhash-vertices")
+    vertices = materialize(fps.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")), "simhash-vertices")
     roots = components(links(vertices.select("fp")))
     rooted = vertices.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     linked = rooted.select("fp", "root").join(least, "root").select("fp", F.col("component").alias("c"))
-    names = vertices.join(linked, "fp", "left").select("fp", F.coalesce("c", "first").alias("component"))
-    return fps.join(names, "fp").select("key", "fp", "component")
+    names = vertices.join(linked, "fp", "left").select("fp", F.coalesce("c", "first").alias("component"), "n")
+    # At most 1 / HOT_SHARE fingerprints stand for that share of all rows; their rows are not shuffled by them.
+    least_hot = HOT_SHARE * (vertices.agg(F.sum("n")).first()[0] or 0)
+    hot = F.broadcast(materialize(names.where(F.col("n") >= least_hot), "simhash-hot"))
+    many = fps.join(hot, "fp")
+    rest = fps.join(hot, "fp", "left_anti").join(names.where(F.col("n") < least_hot), "fp")
+    return many.unionByName(rest).select("key", "fp", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
