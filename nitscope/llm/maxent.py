@@ -37,10 +37,12 @@ PAIRS, ROWS = 4096, 256
 END_CLASS = CLASSES + RARE
 N_CLASSES = CLASSES + RARE + 1
 ROUNDS, STRIDE, STEP, RATE = 2, 4, 8192, 0.15
-#: Different training texts, chosen by their own hash, from which words are sorted into classes; classes only factor
+#: Different training texts, chosen by their own hash, from whose first 4,000 characters words are sorted into classes; classes only factor
 #: the softmax, the counts and the training cover all documents.
 CLASS_SAMPLE = 2000
 ALPHA = 0.1
+#: Documents whose scores a task holds before it hands them on.
+HELD = 500
 BLOCK = 1 << 14
 NEVER = -1e9
 
@@ -296,7 +298,7 @@ def train(texts: DataFrame, text: str = "text") -> dict:
     words = [w for w, _ in top[:VOCAB]]
     h = F.pmod(F.xxhash64(text), F.lit(1 << 30))
     n_texts = max(end, 1)
-    near = texts.where(h < min(1 << 30, -(-4 * CLASS_SAMPLE * (1 << 30) // n_texts))).select(h.alias("h"), F.substring(text, 1, 20_000).alias("t")).dropDuplicates(["h"]).orderBy("h").limit(CLASS_SAMPLE).select("t")
+    near = texts.where(h < min(1 << 30, -(-2 * CLASS_SAMPLE * (1 << 30) // n_texts))).select(h.alias("h"), F.substring(text, 1, 4000).alias("t")).dropDuplicates(["h"]).orderBy("h").limit(CLASS_SAMPLE).select("t")
     place = sort_into_classes(words, [r[0] for r in near.collect()])
     vocab = {w: int(place[i]) for i, w in enumerate(words)}
     # mass of the rare classes: all counted types that are no vocabulary word, and one unseen type each
@@ -329,7 +331,7 @@ def score(docs: DataFrame, fitted: dict, text: str = "text") -> DataFrame:
         read, tenth = Tokens(vocab), np.log(10)
         logs = {w: float(np.log10(n + ALPHA)) for w, n in known.items()}
         get, log_end = logs.get, float(np.log10(end + ALPHA))
-        for b in batches:
+        for b in (b.slice(i, HELD) for b in batches for i in range(0, b.num_rows, HELD)):
             rows = []
             for t in b.column(b.num_columns - 1).to_pylist():
                 words = words_of(t)
