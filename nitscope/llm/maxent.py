@@ -8,7 +8,7 @@ before (n-gram), the one before that (skip) and both hashed together; a rare wor
 Counts cover every training token: per-task counters are summed in one shuffle. Training runs in rounds, each over its
 own part of the training documents: every task makes gradient steps from the round's model over its documents, using
 every `STRIDE`-th position of every one, and the results are averaged block by block in two steps, weighted by
-positions. Scoring is one pass in numpy batches; only words outside the `COUNTED` most frequent ones go through a
+positions. Scoring is one pass in numpy batches; only words of a smaller share than 1 / `COUNTED` go through a
 shuffle to meet their counts, so no word that many documents share is ever joined.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is scored and in the training part; repeated
@@ -29,8 +29,9 @@ from nitscope.runtime import materialize, unused
 
 SLOTS, CLASSES, RARE = 32, 32, 8
 VOCAB = SLOTS * CLASSES
-#: Words whose counts every task holds: bounds what is broadcast, not what is counted.
-COUNTED = 50_000
+#: Words of at least this share of all tokens are frequent: their counts are with every task. There can't be more than
+#: `COUNTED` of them, whatever the corpus; in prose there are a tenth of that.
+COUNTED = 500_000
 BYTES_IDS = 512
 CONTEXTS = VOCAB + BYTES_IDS + 1
 PAIRS, ROWS = 4096, 256
@@ -293,7 +294,8 @@ def train(texts: DataFrame, text: str = "text") -> dict:
     """Everything that scoring needs: the model, its words, the frequent words' counts, totals, and the counts table."""
     counts = materialize(count_tokens(texts, text), "lm-counts")
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(r["token"].encode(), r["n"]) for r in counts.where("token <> ''").orderBy(F.desc("n"), "token").limit(COUNTED).collect()]
+    frequent = counts.where((F.col("token") != "") & (F.col("n") * COUNTED >= total)).collect()
+    top = sorted(((r["token"].encode(), r["n"]) for r in frequent), key=lambda x: (-x[1], x[0]))
     end = (counts.where("token = ''").agg(F.sum("n")).first()[0]) or 0
     words = [w for w, _ in top[:VOCAB]]
     h = F.pmod(F.xxhash64(text), F.lit(1 << 30))

@@ -16,7 +16,7 @@ def base_scores(rows, training):
     return [(len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tok(t))) for t in rows]
 
 
-@pytest.mark.parametrize("counted", [50_000, 1100])
+@pytest.mark.parametrize("counted", [500_000, 1100])
 def test_base_scores_match_brute_force_and_model_is_better(spark, monkeypatch, counted):
     monkeypatch.setattr(maxent, "COUNTED", counted)
     sf = "/root/testdata/sf0.001"
