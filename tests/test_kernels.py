@@ -6,8 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from nitscope.plans import bytes as byte_queries
 from nitscope.plans import kernels
 
+ALL = kernels.QUERIES | byte_queries.QUERIES
+TWINS = kernels.ORACLE_SQL | byte_queries.ORACLE_SQL
 SF = "/root/testdata/sf0.01"
 
 
@@ -32,15 +35,15 @@ def rows(names, data):
 
 
 def same(name, df, duck):
-    got = duck.execute(kernels.ORACLE_SQL[name])
+    got = duck.execute(TWINS[name])
     names = [d[0] for d in got.description]
     assert sorted(df.columns) == sorted(names)
     assert rows(df.columns, df.collect()) == rows(names, got.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(kernels.QUERIES))
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_kernel(spark, duck, name):
-    same(name, kernels.QUERIES[name](spark, SF), duck)
+    same(name, ALL[name](spark, SF), duck)
 
 
 def test_partition_counts_do_not_matter(spark, duck):
