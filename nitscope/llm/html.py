@@ -1,7 +1,7 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
 A page is read once into a sequence of blocks (runs of text between block-level tags) and tags. Each word scores what
-the model says of its block's surroundings, or nothing if that is negative; each tag scores a negative weight; both are
+the model says of its block's surroundings (the worst of them where one decides alone), or nothing if that is negative; each tag scores a negative weight; both are
 learned from labelled pages. A linear scan finds the contiguous region of the largest sum, and in it the blocks whose words score positive are the
 main text, so that an advert or a form amid the article is left out and a one-word paragraph is not.
 
@@ -51,6 +51,29 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: Names that pages give to what is not the article, and to what is.
+OFF_NAMES = (
+    "nav menu breadcrumb sidebar footer header masthead banner ad ads advert advertisement sponsor sponsored promo notice cookie "
+    "consent alert gdpr newsletter signup subscribe subscription login search share social related recommended popular trending comment respond "
+    "discussion reply disclaimer copyright legal pagination pager toolbar widget popup modal overlay tag-cloud form outbrain taboola "
+    "navigation navbar topbar notification recommendation recommend feedback marketing offer adsbygoogle adsense leaderboard disqus thread "
+    "replies side rail teaser affiliate signin register tagline skip dropdown ticker warning announcement"
+)
+MAIN_NAMES = "content article post entry story body text main-content post-content entry-content article-body page"
+#: Features by which a block is in an article.
+ARTICLE = frozenset(("inside", ".article", ".post", ".entry", ".story"))
+#: Surroundings that come this much more often with other text decide alone: main text in them is not to be had.
+DECISIVE = 20
+
+
+def _singular(word: str) -> str:
+    return word[:-1] if len(word) > 3 and word[-1] == "s" else word
+
+
+#: An article of such a name (a reader's comment, a teaser) is not the page's.
+_OFF = frozenset("." + _singular(w) for name in OFF_NAMES.split() for w in name.split("-"))
+
+
 @dataclass
 class Block:
     text: str
@@ -64,10 +87,9 @@ class Block:
 def _frame(name: str, attrs: str) -> tuple[frozenset[str], str]:
     """Features and label of an element: its name and the words of its class, id and role, in the singular."""
     out = {f"<{name}>"} if name in BLOCKS else set()
-    for groups in _NAMES.findall(attrs):
+    for groups in _NAMES.findall(attrs) if name not in ("html", "body") else ():
         for word in _PARTS.findall("".join(groups)):
-            word = word.lower()
-            out.add("." + (word[:-1] if len(word) > 3 and word[-1] == "s" else word))
+            out.add("." + _singular(word.lower()))
     if _HIDDEN.search(attrs):
         out.add("hidden")
     return frozenset(out), "main" if "data-main" in attrs else "off" if "data-off" in attrs else ""
@@ -87,7 +109,8 @@ def read(html: str) -> list[Block]:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            features = frozenset().union(*(f for _, f, _ in stack)) if stack else frozenset()
+            around = next((i for i, (n, f, _) in enumerate(stack) if n in LANDMARKS and not f & _OFF), 0)  # what holds the article says nothing of it
+            features = frozenset().union(*(f for _, f, _ in stack[around:])) if stack else frozenset()
             if linked >= 0.8 * total:
                 features |= {"links"}
             if stack and stack[-1][0] in HEADINGS:
@@ -121,7 +144,6 @@ def read(html: str) -> list[Block]:
         flush()
         in_link = False
         tags.append(name)
-        landmark |= name in LANDMARKS
         if m["end"]:
             if any(n == name for n, _, _ in stack):
                 while stack.pop()[0] != name:
@@ -131,6 +153,7 @@ def read(html: str) -> list[Block]:
                 stack.pop()
             attrs = m["attrs"] or ""
             stack.append((name, *_frame(name, attrs if not attrs.endswith("/") else attrs[:-1])))
+            landmark |= name in LANDMARKS and not stack[-1][1] & _OFF
     text_of(at, len(html))
     flush()
     if landmark:
@@ -138,20 +161,11 @@ def read(html: str) -> list[Block]:
             inside = "<article>" in b.features or "<main>" in b.features
             b.features |= {"inside"} if inside else {"outside"}
     for b in blocks:
-        if "<header>" in b.features and "heading" in b.features and "inside" in b.features:
-            b.features |= {"title in article"}
+        if "heading" in b.features and b.features & {"<header>", ".header"} and b.features & ARTICLE:
+            b.features = b.features - {"<header>", ".header"} | {"title in article"}
     return blocks
 
 
-#: Names that pages give to what is not the article, and to what is.
-OFF_NAMES = (
-    "nav menu breadcrumb sidebar footer header masthead banner ad ads advert advertisement sponsor sponsored promo notice cookie "
-    "consent alert gdpr newsletter signup subscribe subscription login search share social related recommended popular trending comment respond "
-    "discussion reply disclaimer copyright legal pagination pager toolbar widget popup modal overlay tag-cloud form outbrain taboola"
-)
-MAIN_NAMES = "content article post entry story body text main-content post-content entry-content article-body page"
-
-
 def labelled_pages() -> list[str]:
     """Labelled pages, made by rule: every layout of the article with every kind of surroundings in and around it.
     data-main and data-off mark what is main text and what is not; the features do not look at them."""
@@ -161,7 +175,7 @@ def labelled_pages() -> list[str]:
     more = "<h2>Sa</h2><h3>Si</h3><h4>So</h4><h5>Su</h5><h6>Sy</h6><p><a href='#'>La li</a></p><dl><dt>Ka</dt><dd>Ke</dd></dl><ul><li>Tu va</li><li>We <a href='#'>xi</a> yo zu</li></ul><blockquote>Ab ce di</blockquote><pre>x = 1</pre><figure><figcaption>Fa gu</figcaption></figure><table><tr><td>Ha</td><td>je</td></tr></table><div>Ki lo mu no.</div>Pe qi"
     kinds = [("<nav data-off><ul><li><a href='/a'>Ab</a></li><li><a href='/c'>Ce</a></li></ul></nav>", 2), ("<footer data-off>Ab ce di <p>fo gu</p></footer>", 2), ("<aside data-off><p>Ab ce di fo</p></aside>", 2)]
     kinds += [("<form data-off><p>Ab ce</p><label>di</label></form>", 2), ("<header data-off><h2>Ab</h2><p>Ce di fo</p></header>", 0), ("<header><h1 data-main>Ab ce</h1><p data-off>Di fo gu</p></header>", 1)]
-    kinds += [("<dialog data-off>Ab ce di</dialog>", 2), ("<menu data-off><li>Ab</li></menu>", 2), ("<div hidden data-off>Ab ce</div>", 2), ("<ul data-off><li><a href='#'>Ab</a></li><li><a href='#'>Ce</a></li></ul>", 0), ("<div data-off>Ab ce di fo</div>", 3)]
+    kinds += [("<dialog data-off>Ab ce di</dialog>", 2), ("<dialog data-off><p>Ab ce</p></dialog>", 2), ("<fieldset data-off><legend>Ab</legend><p>Ce</p></fieldset>", 2), ("<menu data-off><ul><li>Ab</li></ul></menu>", 2), ("<div hidden data-off><p>Ab ce</p><p>Di</p></div>", 2), ("<footer data-off><div>Ab</div><ul><li>Ce</li></ul></footer>", 2), ("<aside data-off><h3>Ab</h3><ul><li>Ce</li></ul></aside>", 2), ("<form data-off><div>Ab</div><p>Ce</p></form>", 2), ("<nav data-off><p>Ab</p><h3>Ce</h3></nav>", 2), ("<menu data-off><li>Ab</li></menu>", 2), ("<div hidden data-off>Ab ce</div>", 2), ("<ul data-off><li><a href='#'>Ab</a></li><li><a href='#'>Ce</a></li></ul>", 0), ("<div data-off>Ab ce di fo</div>", 3)]
     for n in OFF_NAMES.split():
         kinds += [(f'<div class="{n}" data-off>Ab ce di fo gu</div>', 2), (f'<section id="{n}" data-off><h3>Ab</h3><p>Ce di fo gu</p><p>Ha ji</p></section>', 2), (f'<p class="{n}" data-off>Ab ce</p>', 2), (f'<div id="{n}" data-off><p>Ab ce</p><ul><li>Di</li></ul></div>', 2)]
     out = []
@@ -177,9 +191,16 @@ def labelled_pages() -> list[str]:
 
 @lru_cache(maxsize=1)
 def learn(rounds: int = 25, ridge: float = 1e-2) -> dict:
-    """Weights from the labelled pages: logistic regression of the block's label on its features gives the score of a
-    word; how much more often than main text a tag comes with other text gives the tag's, never above -0.01."""
-    read_all = [b for page in labelled_pages() for b in read(page)]
+    """Weights from the labelled pages. Features that come with other text at least `DECISIVE` times as often as with main
+    text decide alone; on the blocks without any, logistic regression of the label on the features gives the score of a
+    word. How much more often than main text a tag comes with other text gives the tag's, never above -0.01."""
+    every = [b for page in labelled_pages() for b in read(page)]
+    seen: dict[str, list[float]] = {}
+    for b in every:
+        for f in b.features:
+            seen.setdefault(f, [0.5, 0.5])[b.label == "main"] += 1
+    decisive = {f: float(np.log(main / off)) for f, (off, main) in seen.items() if off >= DECISIVE * main}
+    read_all = [b for b in every if not b.features & decisive.keys()]
     names = sorted({f for b in read_all for f in b.features})
     place = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(read_all), len(names) + 1))
@@ -193,13 +214,14 @@ def learn(rounds: int = 25, ridge: float = 1e-2) -> dict:
         curve = x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
         w -= np.linalg.solve(curve, x.T @ (p - y) + ridge * w)
     count: dict[str, list[int]] = {}
-    for b in read_all:
+    for b in every:
         for t in b.tags:
             count.setdefault(t, [1, 1])[b.label == "main"] += 1
     off, main = sum(c[0] for c in count.values()), sum(c[1] for c in count.values())
     return {
         "bias": float(w[-1]),
         "word": dict(zip(names, w[:-1].tolist(), strict=True)),
+        "decisive": decisive,
         "tag": {t: min(-0.01, 0.1 * float(np.log(c[1] / main) - np.log(c[0] / off))) for t, c in count.items()},
     }
 
@@ -218,8 +240,8 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(html: str | None, model: dict) -> str:
     blocks = read(html or "")
-    word, tag = model["word"], model["tag"]
-    each = [model["bias"] + sum(word.get(f, 0.0) for f in b.features) for b in blocks]
+    word, tag, decisive = model["word"], model["tag"], model["decisive"]
+    each = [min((decisive[f] for f in b.features if f in decisive), default=model["bias"] + sum(word.get(f, 0.0) for f in b.features)) for b in blocks]
     scores = [x for b, s in zip(blocks, each, strict=True) for x in (sum(tag.get(t, -0.05) for t in b.tags), max(s, 0.0) * b.words)]
     a, b = best_region(scores)
     return "\n".join(x.text for i, (x, s) in enumerate(zip(blocks, each, strict=True)) if a <= 2 * i + 1 < b and s > 0)

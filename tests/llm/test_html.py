@@ -1,6 +1,8 @@
 import re
 from html import unescape
 
+import pytest
+
 from nitscope.llm import html
 
 MODEL = html.learn()
@@ -67,3 +69,27 @@ def test_empty_table_and_other_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x")], "page_id long, html string, n_chars string")
     assert [tuple(r) for r in html.extract(df).collect()] == [(1, "", 0)] * 2
     assert html.extract(df.limit(0)).count() == 0
+
+
+AROUND = [
+    "<aside class='sidebar'><h3>Popular</h3><ul><li><a href='#'>One</a></li></ul></aside>",
+    "<div class='sidebar-widget'><h4>About</h4><p>We write things.</p></div>",
+    "<section class='related-articles'><h2>Related</h2><ul><li>Other story</li></ul></section>",
+    "<div class='cookie-banner'><p>We use cookies.</p><button>OK</button></div>",
+    "<div role='navigation'><a href='/'>Home</a> <a href='/b'>Blog</a></div>",
+    "<div id='comments'><h3>2 comments</h3><div class='comment'><p class='author'>Bob</p><p>Great post, thanks.</p></div></div>",
+    "<section class='comments'><article class='comment'><p>Nice one.</p></article></section>",
+    "<form><div>Email</div><input><p>We never share it.</p></form>",
+    "<footer><p>All rights reserved</p></footer>",
+    "<div class='sponsored'><h3>Sponsored</h3><p>Paid words</p></div>",
+    "<div style='display:none'><p>Hidden</p></div>",
+    "<fieldset><legend>Form</legend></fieldset>",
+]
+
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main><div class='post'>{}</div></main>", "<div class='content'>{}</div>", "<div>{}</div>"])
+def test_surroundings_of_every_kind_go(frame):
+    for extra in AROUND:
+        for before, inside, after in ((extra, "", ""), ("", extra, ""), ("", "", extra)):
+            page = f"<html><body class='has-sidebar'>{before}{frame.format(f'<h1>Head</h1><p>First para.</p>{inside}<p>Second <a>one</a>.</p>')}{after}</body></html>"
+            assert html.main_text(page, MODEL) == "Head\nFirst para.\nSecond one.", extra
