@@ -35,7 +35,7 @@ PATTERNS = {
 GATES = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 #: A seed pattern needs this share of all seed occurrences, and at least `MIN_SEEDS` different ones: so there are never
-#: more than 2 / MIN_SHARE patterns, whatever the corpus.
+#: more than 2 / MIN_SHARE patterns, whatever the corpus. A pattern has a letter: punctuation alone names nothing.
 MIN_SHARE, MIN_SEEDS = 0.005, 5
 ROUNDS, CONFIDENT = 3, 0.6
 #: What a token is stripped of before it is looked at.
@@ -140,7 +140,7 @@ def learn_patterns(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) ->
     edges = materialize(occurrences(docs, text), "pii-edges")
     seeds = edges.where("seed")
     all_seeds = (seeds.agg(F.sum("n")).first()[0] or 0) / 2
-    strong = seeds.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("n") >= MIN_SHARE * all_seeds) & (F.col("kinds") >= MIN_SEEDS))
+    strong = seeds.where(F.col("pattern").rlike(r"\p{L}")).groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("n") >= MIN_SHARE * all_seeds) & (F.col("kinds") >= MIN_SEEDS))
     names = [r[0] for r in strong.select("pattern").collect()]
     if not names:
         return []
