@@ -254,3 +254,15 @@ def sections(report: DataFrame, *wanted: str) -> DataFrame:
     keep = {f for s in wanted for f in SECTIONS[s]}
     drop = [f for s, fields in SECTIONS.items() if s not in wanted for f in fields if s != "general" and f not in keep]
     return report.withColumn("video_tracks", F.transform("video_tracks", lambda t: t.dropFields(*drop) if drop else t))
+
+
+def json_document(report: DataFrame, collected: int) -> str:
+    """One JSON text for people's tools: the object alone if exactly one path was collected and could be read, else an
+    array in the order of paths. Rows come to the driver one partition at a time."""
+    rows = [r.value for r in to_json(report.orderBy("file")).toLocalIterator()]
+    return rows[0] if collected == 1 and len(rows) == 1 else f"[{','.join(rows)}]"
+
+
+def observed(report: DataFrame, observation) -> DataFrame:
+    """The same rows; `observation` learns how many files and tracks went by once an action has run."""
+    return report.observe(observation, F.count("*").alias("files"), F.sum(F.size("video_tracks")).alias("tracks"))

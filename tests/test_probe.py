@@ -135,3 +135,15 @@ def test_cut_inputs_claim_less(spark):
     got = {r.file: r for r in made.collect()}
     assert got["a.mp4"].video_tracks[0].bitrate and got["a.mp4"].duration_secs
     assert got["a.ts"].duration_secs is None and got["a.ts"].video_tracks[0].bitrate is None and got["b.ts"].duration_secs == 10.0
+
+
+def test_json_document_and_metrics(spark):
+    from pyspark.sql import Observation
+
+    df = spark.createDataFrame([("a.mp4", m.mp4(SAMPLES, CONFIG)), ("b.mkv", b"junk")], "file string, content binary")
+    made, _ = probe.probe_bytes(df)
+    assert json.loads(probe.json_document(made, 2))[0]["file"] == "a.mp4" and json.loads(probe.json_document(made, 1))["container"] == "MP4 (ISOBMFF)"
+    seen = Observation("probe")
+    probe.observed(made, seen).count()
+    assert seen.get == {"files": 1, "tracks": 1}
+    assert probe.json_document(made.limit(0), 2) == "[]"
