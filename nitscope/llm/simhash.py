@@ -138,12 +138,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return many.unionByName(rest).select("key", "fp", "component")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component of `docs`: of those whose doc_id names the component, the first by all columns.
+def keep_one(docs: DataFrame, find=near_duplicates) -> DataFrame:
+    """One row of each component of `docs`, as `find` has them by key: of those whose doc_id names the component, the first by all columns.
     A row without doc_id counts as one with an id that is larger than any other and follows from its text."""
     cols, k = docs.columns, unused("__key", docs.columns)
     late = F.shiftrightunsigned(F.xxhash64(F.col("text")), 2) + F.lit(1 << 62)
     keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), late))
-    chosen = near_duplicates(keyed, key=k).where(F.col("key") == F.col("component")).select(F.col("key").alias(k)).distinct()
+    chosen = find(keyed, key=k).where(F.col("key") == F.col("component")).select(F.col("key").alias(k)).distinct()
     whole = F.min(F.struct(*(F.col(f"`{c}`") for c in cols))).alias("r")
     return keyed.join(chosen, k, "left_semi").groupBy(k).agg(whole).select("r.*")
