@@ -6,9 +6,8 @@ last byte, within which their corpus counts decide; the end of a text is a class
 before (n-gram), the one before that (skip) and both hashed together; a rare word acts as context by its hashed bytes.
 
 Counts cover every training token: per-task counters are summed in one shuffle. Training runs in rounds, each over its
-own part of the training documents: every task makes gradient steps from the round's model over its documents, using
-every `STRIDE`-th position of every one, and the results are averaged block by block in two steps, weighted by
-positions. Scoring is one pass in numpy batches; only words of a smaller share than 1 / `COUNTED` go through a
+own part of the training documents: every task makes gradient steps from the round's model over every position of its
+documents, and the results are averaged block by block in two steps, weighted by positions. Scoring is one pass in numpy batches; only words of a smaller share than 1 / `COUNTED` go through a
 shuffle to meet their counts, so no word that many documents share is ever joined.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is scored and in the training part; repeated
@@ -37,7 +36,7 @@ CONTEXTS = VOCAB + BYTES_IDS + 1
 PAIRS, ROWS = 4096, 256
 END_CLASS = CLASSES + RARE
 N_CLASSES = CLASSES + RARE + 1
-ROUNDS, STRIDE, STEP, RATE = 2, 4, 8192, 0.15
+ROUNDS, STEP, RATE = 2, 8192, 0.15
 #: Different training texts, chosen by their own hash, from whose first 4,000 characters words are sorted into classes; classes only factor
 #: the softmax, the counts and the training cover all documents.
 CLASS_SAMPLE = 2000
@@ -259,15 +258,15 @@ def train_round(texts: DataFrame, model: dict, vocab: dict[bytes, int], text: st
         mine = {k: v.copy() for k, v in model.items()}
         seen = {k: np.zeros_like(v) for k, v in model.items() if "bias" not in k}
         held: list[tuple] = []
-        size = used = docs = 0
+        size = used = 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                take = slice(docs % STRIDE, None, STRIDE)
-                held.append(tuple(x[take] for x in read.positions(words_of(t))))
-                docs, size = docs + 1, size + len(held[-1][0])
+                held.append(read.positions(words_of(t)))
+                size += len(held[-1][0])
                 if size >= STEP:
+                    whole = [np.concatenate(x) for x in zip(*held, strict=True)]
                     for a in range(0, size, STEP):
-                        steps(mine, seen, *(np.concatenate(x)[a : a + STEP] for x in zip(*held, strict=True)))
+                        steps(mine, seen, *(x[a : a + STEP] for x in whole))
                     held, size, used = [], 0, used + size
         if size:
             steps(mine, seen, *(np.concatenate(x) for x in zip(*held, strict=True)))

@@ -66,3 +66,12 @@ def test_defined_cases(spark):
     none = maxent.train(docs.limit(0).select("text"))
     assert {r.base_score for r in maxent.score(docs, none).collect()} == {0.0}
     assert maxent.score(docs.limit(0), fitted).count() == 0
+
+
+def test_every_position_of_every_text_is_learned(spark):
+    words = [f"w{i}".encode() for i in range(200)]
+    vocab = {w: i for i, w in enumerate(words)}
+    model = maxent.new_model(np.ones(200), np.arange(maxent.VOCAB), np.ones(maxent.RARE), 5)
+    rows = [(f"w{i} w{i + 100}",) for i in range(100)]
+    after = maxent.train_round(spark.createDataFrame(rows, "text string").coalesce(1), model, vocab)
+    assert np.abs(after["before"][:200]).max(axis=1).min() > 0
