@@ -5,7 +5,7 @@ Frequent words (`VOCAB`) lie in `CLASSES` classes of equal size; all other words
 last byte, within which their corpus counts decide; the end of a text is a class of its own. Features are the token
 before (n-gram), the one before that (skip) and both hashed together; a rare word acts as context by its hashed bytes.
 
-Counts cover every training token: per-task counters are summed in one shuffle. Training runs in rounds, each over its
+Counts of tokens and of neighbours cover all training texts: per-task counters are summed in one shuffle each. Training runs in rounds, each over its
 own part of the training documents: every task makes gradient steps from the round's model over every position of its
 documents, and the results are averaged block by block in two steps, weighted by positions. Scoring is one pass in numpy batches; only words of a smaller share than 1 / `COUNTED` go through a
 shuffle to meet their counts, so no word that many documents share is ever joined.
@@ -37,9 +37,8 @@ PAIRS, ROWS = 4096, 256
 END_CLASS = CLASSES + RARE
 N_CLASSES = CLASSES + RARE + 1
 ROUNDS, STEP, RATE = 2, 8192, 0.15
-#: Different training texts, chosen by their own hash, from whose first 4,000 characters words are sorted into classes; classes only factor
-#: the softmax, the counts and the training cover all documents.
-CLASS_SAMPLE = 2000
+#: The most frequent words that count by name as neighbours when words are sorted into classes.
+NEAR = 96
 ALPHA = 0.1
 #: Documents whose scores a task holds before it hands them on.
 HELD = 500
@@ -83,19 +82,35 @@ def count_tokens(texts: DataFrame, text: str = "text", flush: int = 200_000) ->
 # ---- classes
 
 
-def sort_into_classes(vocab: list[bytes], texts: list[str]) -> np.ndarray:
-    """Place (class * SLOTS + slot) of each word of `vocab`: words are halved again and again along the main direction
-    of their neighbours' counts, so that every class has the same number of places."""
-    ids, top = {w: i for i, w in enumerate(vocab)}, 96
-    near = np.zeros((VOCAB, 2 * (top + 1)))
-    for t in texts:
-        seq = np.array([ids.get(w, -1) for w in words_of(t)])
-        if len(seq) < 2:
-            continue
-        edge = np.where((seq >= 0) & (seq < top), seq, top)
-        a, b = seq[:-1] >= 0, seq[1:] >= 0
-        np.add.at(near, (seq[:-1][a], edge[1:][a]), 1)
-        np.add.at(near, (seq[1:][b], top + 1 + edge[:-1][b]), 1)
+def count_neighbours(texts: DataFrame, vocab: list[bytes], text: str = "text") -> np.ndarray:
+    """(VOCAB, 2 * (NEAR + 1)): how often each word stands before and after each of the first `NEAR`, or any other word,
+    over all texts. Tasks count into one table each, whose cells are summed in one shuffle; no more cells than those of
+    one table come to the driver."""
+    ids, width = {w: i for i, w in enumerate(vocab)}, 2 * (NEAR + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.zeros(VOCAB * width, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seq = np.array([ids.get(w, -1) for w in words_of(t)])
+                if len(seq) < 2:
+                    continue
+                edge = np.where((seq >= 0) & (seq < NEAR), seq, NEAR)
+                x, y = seq[:-1] >= 0, seq[1:] >= 0
+                np.add.at(near, seq[:-1][x] * width + edge[1:][x], 1)
+                np.add.at(near, seq[1:][y] * width + NEAR + 1 + edge[:-1][y], 1)
+        at = np.flatnonzero(near)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(near[at])], names=["cell", "n"])
+
+    near = np.zeros(VOCAB * width)
+    for r in texts.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        near[r["cell"]] = r["n"]
+    return near.reshape(VOCAB, width)
+
+
+def sort_into_classes(near: np.ndarray) -> np.ndarray:
+    """Place (class * SLOTS + slot) of each word: words are halved again and again along the main direction of their
+    neighbours' counts, so that every class has the same number of places."""
     near = np.sqrt(near / np.maximum(near.sum(axis=1, keepdims=True), 1))
     groups = [np.arange(VOCAB)]
     while len(groups) < CLASSES:
@@ -297,10 +312,7 @@ def train(texts: DataFrame, text: str = "text") -> dict:
     top = sorted(((r["token"].encode(), r["n"]) for r in frequent), key=lambda x: (-x[1], x[0]))
     end = (counts.where("token = ''").agg(F.sum("n")).first()[0]) or 0
     words = [w for w, _ in top[:VOCAB]]
-    h = F.pmod(F.xxhash64(text), F.lit(1 << 30))
-    n_texts = max(end, 1)
-    near = texts.where(h < min(1 << 30, -(-2 * CLASS_SAMPLE * (1 << 30) // n_texts))).select(h.alias("h"), F.substring(text, 1, 4000).alias("t")).dropDuplicates(["h"]).orderBy("h").limit(CLASS_SAMPLE).select("t")
-    place = sort_into_classes(words, [r[0] for r in near.collect()])
+    place = sort_into_classes(count_neighbours(texts, words, text))
     vocab = {w: int(place[i]) for i, w in enumerate(words)}
     # mass of the rare classes: all counted types that are no vocabulary word, and one unseen type each
     in_vocab = texts.sparkSession.createDataFrame([(w.decode("utf-8", "replace"),) for w in words] or [("",)], "token string")

@@ -75,3 +75,11 @@ def test_every_position_of_every_text_is_learned(spark):
     rows = [(f"w{i} w{i + 100}",) for i in range(100)]
     after = maxent.train_round(spark.createDataFrame(rows, "text string").coalesce(1), model, vocab)
     assert np.abs(after["before"][:200]).max(axis=1).min() > 0
+
+
+def test_neighbours_are_counted_over_all_whole_texts(spark):
+    rows = [("a b",)] * 2500 + [("x " * 3000 + "b a",)]
+    near = maxent.count_neighbours(spark.createDataFrame(rows, "text string"), [b"a", b"b"])
+    other, after = maxent.NEAR, maxent.NEAR + 1
+    assert (near[0, 1], near[1, 0], near[1, after], near[0, after + 1], near[1, after + other]) == (2500, 1, 2500, 1, 1)
+    assert near.sum() == 2 * 2500 + 3
