@@ -39,10 +39,12 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 LANDMARKS = frozenset(("article", "main"))
 #: An open element of the left kind ends where one of the right kinds begins.
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
+#: What may stand in a head; any other element or text ends it.
+IN_HEAD = frozenset("base link meta title style script noscript template head html".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]{{0,4096}}\"|'[^']{{0,4096}}')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+|[^>]*+)>"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|<[!?/][^>]*+>|<[a-zA-Z!?/][^>]*+\Z",
     re.DOTALL | re.IGNORECASE,
 )
@@ -122,6 +124,8 @@ def read(html: str) -> list[Block]:
 
     def text_of(a: int, b: int) -> None:
         nonlocal linked, total
+        if stack and stack[-1][0] == "head" and html[a:b].strip():
+            stack.pop()
         if a < b and not any(n in SILENT for n, _, _ in stack):
             piece = html[a:b]
             parts.append(piece)
@@ -135,6 +139,8 @@ def read(html: str) -> list[Block]:
         name = (m["name"] or "").lower()
         if not name:
             continue
+        if stack and stack[-1][0] == "head" and not m["end"] and name not in IN_HEAD:
+            stack.pop()
         if name == "a":
             in_link = not m["end"]
         if name not in BLOCKS and name not in SILENT:

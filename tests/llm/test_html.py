@@ -93,3 +93,15 @@ def test_surroundings_of_every_kind_go(frame):
         for before, inside, after in ((extra, "", ""), ("", extra, ""), ("", "", extra)):
             page = f"<html><body class='has-sidebar'>{before}{frame.format(f'<h1>Head</h1><p>First para.</p>{inside}<p>Second <a>one</a>.</p>')}{after}</body></html>"
             assert html.main_text(page, MODEL) == "Head\nFirst para.\nSecond one.", extra
+
+
+def test_head_without_end_tag():
+    for first in ("<body>", "", "<a href='/'></a>"):
+        page = PAGE.replace("</head><body>", first).format("")
+        assert html.main_text(page, MODEL) == WANT.format(""), first
+
+
+def test_long_attribute_values_hold_markup():
+    for quote, value in (('"', "<p>no</p>'" * 2000), ("'", '{"a": "<b>no</b>"}' * 2000)):
+        page = PAGE.format(f"<div data-x={quote}{value}{quote}>Loose</div><script data-y={quote}{value}{quote}>no()</script>")
+        assert html.main_text(page, MODEL) == WANT.format("Loose\n")
