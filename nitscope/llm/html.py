@@ -1,23 +1,28 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is read once into a sequence of blocks (runs of text between block-level tags) and tags. Each word scores what
-the model says of its block's surroundings (the worst of them where one decides alone), or nothing if that is negative; each tag scores a negative weight; both are
-learned from labelled pages. A linear scan finds the contiguous region of the largest sum, and in it the blocks whose words score positive are the
-main text, so that an advert or a form amid the article is left out and a one-word paragraph is not.
+A page is read once into a sequence of words, in blocks (runs of text between block-level tags), and tags. A word scores
+between 0 and 1: what a logistic regression over its block's surroundings says for main text. A tag scores a negative
+weight: the more often it stands where main text meets other text and not within main text, the lower. Both are learned
+from labelled pages, and nothing else decides. A linear scan finds the contiguous region of the largest sum, and the
+blocks in it whose words score more than 0 are the main text. Tags of elements that hold no such block count nothing, so
+that an advert or a form amid the article is left out and does not cut it.
 
 Defined cases: null or empty html has the empty text, and so has a page without a region of positive score; markup
-that is cut off at the end of the page is no text; unknown or unclosed tags are skipped; repeated rows give equal
-results each; an empty table gives an empty table.
+that is cut off at the end of the page is no text; unknown or unclosed tags are skipped; of regions with equal sums the
+first, then the longest is taken; very long texts and attributes are read whole, in linear time; columns of the names
+main_text and n_chars are replaced, others are passed on whatever their names; repeated rows give equal results each; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
-from itertools import product
+from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +67,14 @@ OFF_NAMES = (
     "replies side rail teaser affiliate signin register tagline skip dropdown ticker warning announcement"
 )
 MAIN_NAMES = "content article post entry story body text main-content post-content entry-content article-body page"
+#: Kinds of surroundings that are made for each name.
+SHAPES = 6
 #: Features by which a block is in an article.
 ARTICLE = frozenset(("inside", ".article", ".post", ".entry", ".story"))
-#: Surroundings that come this much more often with other text decide alone: main text in them is not to be had.
-DECISIVE = 20
+#: Words that a tag outweighs for each nat, beyond the first, by which it is more frequent at a border of main text.
+BORDER = 2.0
+#: The least that any tag takes away.
+LEAST_TAG = 0.01
 
 
 def _singular(word: str) -> str:
@@ -73,22 +82,36 @@ def _singular(word: str) -> str:
 
 
 #: An article of such a name (a reader's comment, a teaser) is not the page's.
-_OFF = frozenset("." + _singular(w) for name in OFF_NAMES.split() for w in name.split("-"))
+_OFF, _MAIN = (frozenset("." + _singular(w) for name in names.split() for w in name.split("-")) for names in (OFF_NAMES, MAIN_NAMES))
 
 
 @dataclass
 class Block:
+    """`tags` are those since the block before: (name, first, end), with the range of the blocks in the tag's element.
+    Names end in `*` where other blocks' elements lie in the tag's own; that of an end tag begins with `/`, and within an
+    article, by its element or a name, all begin with `in `."""
+
     text: str
     features: frozenset[str]
     words: int
-    tags: tuple[str, ...]
+    tags: list[tuple[str, int, int]]
     label: str = ""
 
 
+@dataclass
+class _Open:
+    name: str
+    features: frozenset[str]
+    label: str
+    first: int
+    tag: list
+    holds: bool = False
+
+
 @lru_cache(maxsize=65536)
 def _frame(name: str, attrs: str) -> tuple[frozenset[str], str]:
     """Features and label of an element: its name and the words of its class, id and role, in the singular."""
-    out = {f"<{name}>"} if name in BLOCKS else set()
+    out = {f"<{name}>"} if name in BLOCKS and name not in ("html", "body") else set()
     for groups in _NAMES.findall(attrs) if name not in ("html", "body") else ():
         for word in _PARTS.findall("".join(groups)):
             out.add("." + _singular(word.lower()))
@@ -100,10 +123,10 @@ def _frame(name: str, attrs: str) -> tuple[frozenset[str], str]:
 def read(html: str) -> list[Block]:
     """The blocks of a page in order, each with the tags since the one before."""
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str], str]] = []
+    stack: list[_Open] = []
     parts: list[str] = []
-    tags: list[str] = []
-    linked = total = 0
+    tags: list[list] = []
+    linked = total = silent = 0
     in_link, landmark = False, False
 
     def flush() -> None:
@@ -111,27 +134,37 @@ def read(html: str) -> list[Block]:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            around = next((i for i, (n, f, _) in enumerate(stack) if n in LANDMARKS and not f & _OFF), 0)  # what holds the article says nothing of it
-            features = frozenset().union(*(f for _, f, _ in stack[around:])) if stack else frozenset()
+            around = next((i for i, e in enumerate(stack) if e.name in LANDMARKS and not e.features & _OFF), 0)  # what holds the article says nothing of it
+            features = frozenset().union(*(e.features for e in stack[around:])) if stack else frozenset()
             if linked >= 0.8 * total:
                 features |= {"links"}
-            if stack and stack[-1][0] in HEADINGS:
+            if stack and stack[-1].name in HEADINGS:
                 features |= {"heading"}
-            label = next((x for _, _, x in reversed(stack) if x), "off")
-            blocks.append(Block(text, features, text.count(" ") + 1, tuple(tags), label))
+            label = next((e.label for e in reversed(stack) if e.label), "off")
+            blocks.append(Block(text, features, text.count(" ") + 1, tags, label))
             tags = []
         linked = total = 0
 
     def text_of(a: int, b: int) -> None:
         nonlocal linked, total
-        if stack and stack[-1][0] == "head" and html[a:b].strip():
-            stack.pop()
-        if a < b and not any(n in SILENT for n, _, _ in stack):
+        if stack and stack[-1].name == "head" and html[a:b].strip():
+            close()
+        if a < b and not silent:
             piece = html[a:b]
             parts.append(piece)
             n = len(piece) - piece.count(" ")
             total, linked = total + n, linked + n * in_link
 
+    def place() -> str:
+        return "in " * any((e.name in LANDMARKS or e.features & _MAIN) and not e.features & _OFF for e in stack)
+
+    def close() -> _Open:
+        nonlocal silent
+        e = stack.pop()
+        silent -= e.name in SILENT
+        e.tag[0], e.tag[2] = e.tag[0] + "*" * e.holds, len(blocks)
+        return e
+
     at = 0
     for m in _TOKEN.finditer(html):
         text_of(at, m.start())
@@ -139,8 +172,8 @@ def read(html: str) -> list[Block]:
         name = (m["name"] or "").lower()
         if not name:
             continue
-        if stack and stack[-1][0] == "head" and not m["end"] and name not in IN_HEAD:
-            stack.pop()
+        if stack and stack[-1].name == "head" and not m["end"] and name not in IN_HEAD:
+            close()
         if name == "a":
             in_link = not m["end"]
         if name not in BLOCKS and name not in SILENT:
@@ -149,19 +182,27 @@ def read(html: str) -> list[Block]:
             continue
         flush()
         in_link = False
-        tags.append(name)
         if m["end"]:
-            if any(n == name for n, _, _ in stack):
-                while stack.pop()[0] != name:
+            if any(e.name == name for e in stack):
+                while (e := close()).name != name:
                     pass
-        elif name not in VOID:
-            while stack and name in CLOSES.get(stack[-1][0], ()):
-                stack.pop()
+                tags.append([f"{place()}/{name}{'*' * e.holds}", e.first, len(blocks)])
+        elif name in VOID:
+            tags.append([place() + name, len(blocks), len(blocks)])
+        else:
+            while stack and name in CLOSES.get(stack[-1].name, ()):
+                close()
+            if stack:
+                stack[-1].holds = True
             attrs = m["attrs"] or ""
-            stack.append((name, *_frame(name, attrs if not attrs.endswith("/") else attrs[:-1])))
-            landmark |= name in LANDMARKS and not stack[-1][1] & _OFF
+            tags.append([place() + name, len(blocks), 0])
+            stack.append(_Open(name, *_frame(name, attrs if not attrs.endswith("/") else attrs[:-1]), len(blocks), tags[-1]))
+            silent += name in SILENT
+            landmark |= name in LANDMARKS and not stack[-1].features & _OFF
     text_of(at, len(html))
     flush()
+    while stack:
+        close()
     if landmark:
         for b in blocks:
             inside = "<article>" in b.features or "<main>" in b.features
@@ -173,63 +214,92 @@ def read(html: str) -> list[Block]:
 
 
 def labelled_pages() -> list[str]:
-    """Labelled pages, made by rule: every layout of the article with every kind of surroundings in and around it.
+    """Labelled pages, made by rule: layouts of the article with kinds of surroundings in and around it, among both
+    such as have telling names, such as have none and such as have names that say nothing.
     data-main and data-off mark what is main text and what is not; the features do not look at them."""
+    main_names = MAIN_NAMES.split()
     layouts = ["<article data-main>{}</article>", "<main data-main>{}</main>", "<main><article data-main>{}</article></main>", "<body data-main>{}</body>", "<section data-main>{}</section>"]
-    layouts += [f'<div {k}="{n}" data-main>{{}}</div>' for n, k in product(MAIN_NAMES.split(), ("class", "id"))]
-    body = "<h1>Ato be</h1><p>Ce da ef go hi jo ku la me ni.</p><p>Op <a href='#'>qu</a> ra.</p>"
-    more = "<h2>Sa</h2><h3>Si</h3><h4>So</h4><h5>Su</h5><h6>Sy</h6><p><a href='#'>La li</a></p><dl><dt>Ka</dt><dd>Ke</dd></dl><ul><li>Tu va</li><li>We <a href='#'>xi</a> yo zu</li></ul><blockquote>Ab ce di</blockquote><pre>x = 1</pre><figure><figcaption>Fa gu</figcaption></figure><table><tr><td>Ha</td><td>je</td></tr></table><div>Ki lo mu no.</div>Pe qi"
-    kinds = [("<nav data-off><ul><li><a href='/a'>Ab</a></li><li><a href='/c'>Ce</a></li></ul></nav>", 2), ("<footer data-off>Ab ce di <p>fo gu</p></footer>", 2), ("<aside data-off><p>Ab ce di fo</p></aside>", 2)]
-    kinds += [("<form data-off><p>Ab ce</p><label>di</label></form>", 2), ("<header data-off><h2>Ab</h2><p>Ce di fo</p></header>", 0), ("<header><h1 data-main>Ab ce</h1><p data-off>Di fo gu</p></header>", 1)]
-    kinds += [("<dialog data-off>Ab ce di</dialog>", 2), ("<dialog data-off><p>Ab ce</p></dialog>", 2), ("<fieldset data-off><legend>Ab</legend><p>Ce</p></fieldset>", 2), ("<menu data-off><ul><li>Ab</li></ul></menu>", 2), ("<div hidden data-off><p>Ab ce</p><p>Di</p></div>", 2), ("<footer data-off><div>Ab</div><ul><li>Ce</li></ul></footer>", 2), ("<aside data-off><h3>Ab</h3><ul><li>Ce</li></ul></aside>", 2), ("<form data-off><div>Ab</div><p>Ce</p></form>", 2), ("<nav data-off><p>Ab</p><h3>Ce</h3></nav>", 2), ("<menu data-off><li>Ab</li></menu>", 2), ("<div hidden data-off>Ab ce</div>", 2), ("<ul data-off><li><a href='#'>Ab</a></li><li><a href='#'>Ce</a></li></ul>", 0), ("<div data-off>Ab ce di fo</div>", 3)]
-    for n in OFF_NAMES.split():
-        kinds += [(f'<div class="{n}" data-off>Ab ce di fo gu</div>', 2), (f'<section id="{n}" data-off><h3>Ab</h3><p>Ce di fo gu</p><p>Ha ji</p></section>', 2), (f'<p class="{n}" data-off>Ab ce</p>', 2), (f'<div id="{n}" data-off><p>Ab ce</p><ul><li>Di</li></ul></div>', 2)]
+    layouts += [f'<div {k}="{n}" data-main>{{}}</div>' for n, k in product(main_names, ("class", "id"))]
+    layouts += ["<div data-main>{}</div>", '<div class="{x}" data-main>{}</div>', '<div class="{x}"><div class="{x}" data-main>{}</div></div>']
+    body = "<h1>Ato be</h1><p>Ce da ef go hi jo ku la me ni.</p><p>Op <a href='#'>qu</a> ra.</p><p>Si to um va we.</p>"
+    more = "<h2>Sa</h2><h3>Si</h3><h4>So</h4><h5>Su</h5><h6>Sy</h6><p><a href='#'>La li</a></p><dl><dt>Ka</dt><dd>Ke</dd></dl><ul><li>Tu va</li><li>We <a href='#'>xi</a> yo zu</li></ul><blockquote>Ab ce di</blockquote><pre>x = 1</pre><figure><figcaption>Fa gu</figcaption></figure><table><tr><td>Ha</td><td>je</td></tr></table><div>Ki lo mu no.</div>Pe qi<div>Re su ti</div><div class='{x}'>Um vo</div><div><p>We xa</p><p>Ya zo</p></div><section><h2>Ab</h2><p>Ce di</p></section><section><p>Fo gu</p><p>Ha</p></section><h1>Je ki</h1>"
+    around, every, amid, apart, title = range(5)
+    kinds = [("<nav data-off><ul><li><a href='/a'>Ab</a></li><li><a href='/c'>Ce</a></li></ul></nav>", every), ("<footer data-off>Ab ce di <p>fo gu</p></footer>", every), ("<aside data-off><p>Ab ce di fo</p></aside>", every)]
+    kinds += [("<form data-off><p>Ab ce</p><label>di</label></form>", every), ("<header data-off><h2>Ab</h2><p>Ce di fo</p></header>", around), ("<header><h1 data-main>Ab ce</h1><p data-off>Di fo gu</p></header>", title)]
+    kinds += [("<dialog data-off>Ab ce di</dialog>", every), ("<dialog data-off><p>Ab ce</p></dialog>", every), ("<fieldset data-off><legend>Ab</legend><p>Ce</p></fieldset>", every), ("<menu data-off><ul><li>Ab</li></ul></menu>", every), ("<div hidden data-off><p>Ab ce</p><p>Di</p></div>", every), ("<footer data-off><div>Ab</div><ul><li>Ce</li></ul></footer>", every), ("<aside data-off><h3>Ab</h3><ul><li>Ce</li></ul></aside>", every), ("<form data-off><div>Ab</div><p>Ce</p></form>", every), ("<nav data-off><p>Ab</p><h3>Ce</h3></nav>", every), ("<menu data-off><li>Ab</li></menu>", every), ("<div hidden data-off>Ab ce</div>", every), ("<ul data-off><li><a href='#'>Ab</a></li><li><a href='#'>Ce</a></li></ul>", around)]
+    plain = ["<div data-off>Ab ce di fo</div>", "<div class='{x}' data-off><p>Ab ce</p></div>", "<div class='{x}' data-off>Ab ce</div>", "<div class='{x}' data-off><div><p>Ab</p><p>Ce di</p></div></div>", "<div class='{x}' data-off><ul><li><a href='#'>Ab</a></li><li><a href='#'>Ce</a></li></ul></div>", "<p data-off>Ab ce</p>"]
+    kinds += [(k, apart) for k in plain] * 3
+    named = []
+    for i, n in enumerate(OFF_NAMES.split()):
+        both = f"{n}-{main_names[i % len(main_names)]}"
+        named += [(f'<div class="{n}" data-off>Ab ce di fo gu</div>', every), (f'<section id="{n}" data-off><h3>Ab</h3><p>Ce di fo gu</p><p>Ha ji</p></section>', every), (f'<p class="{n}" data-off>Ab ce</p>', every), (f'<div id="{n}" data-off><p>Ab ce</p><ul><li>Di</li></ul></div>', every), (f'<div class="{both}" data-off><p>Ab ce di</p></div>', every), (f'<section class="{both}s" data-off><h2>Ab</h2><ul><li>Ab ce di</li></ul></section>', every)]
+    assert len(named) == SHAPES * len(OFF_NAMES.split())
     out = []
-    for i, (kind, where) in enumerate(kinds):
+    for i, (kind, where) in enumerate(kinds + named):
         for j, layout in enumerate(layouts):
-            landmark = j < 3
-            before = kind if where in (0, 2) or where == 3 and landmark else ""
-            within = kind if where in (1, 2) and (where != 1 or landmark) else ""
-            main = layout.format(body + within + (more if (i + j) % 2 else "") + "<p>Zo.</p>")
-            out.append(f"<html><head><title>Ab</title></head>{before}{main}{before}</html>")
+            name = (i - len(kinds)) // SHAPES
+            if name >= 0 and j != name % 3 and (name + j) % 6:  # named ones in a landmark and in a sixth of the layouts
+                continue
+            outside = kind if where in (around, every, apart) else ""
+            within = kind if where in (every, amid) or where == title and j < 3 else ""
+            main = layout.replace("{}", ("<p>Na</p>" if (i + j) % 4 == 3 else "") + body + within + (more if (i + j) % 2 else "") + "<p>Zo.</p>")
+            page = f"<html><head><title>Ab</title></head>{outside}{main}{outside}</html>"
+            out.append(page.replace("{x}", f"q{(7 * i + j) % 97}x"))  # digits are no part of a name: what is left is `q` and `x`
     return out
 
 
-@lru_cache(maxsize=1)
-def learn(rounds: int = 25, ridge: float = 1e-2) -> dict:
-    """Weights from the labelled pages. Features that come with other text at least `DECISIVE` times as often as with main
-    text decide alone; on the blocks without any, logistic regression of the label on the features gives the score of a
-    word. How much more often than main text a tag comes with other text gives the tag's, never above -0.01."""
-    every = [b for page in labelled_pages() for b in read(page)]
-    seen: dict[str, list[float]] = {}
-    for b in every:
-        for f in b.features:
-            seen.setdefault(f, [0.5, 0.5])[b.label == "main"] += 1
-    decisive = {f: float(np.log(main / off)) for f, (off, main) in seen.items() if off >= DECISIVE * main}
-    read_all = [b for b in every if not b.features & decisive.keys()]
-    names = sorted({f for b in read_all for f in b.features})
+def _regression(blocks: list[Block], rounds: int, ridge: float) -> tuple[float, dict[str, float]]:
+    """Bias and weights of a logistic regression of the label on the features; equal rows are one with a weight."""
+    rows = Counter((b.features, b.label == "main") for b in blocks)
+    names = sorted({f for features, _ in rows for f in features})
     place = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(read_all), len(names) + 1))
-    x[:, -1] = 1
-    for i, b in enumerate(read_all):
-        x[i, [place[f] for f in b.features]] = 1
-    y = np.array([b.label == "main" for b in read_all], float)
+    x, y = np.zeros((len(rows), len(names) + 1)), np.array([main for _, main in rows], float)
+    x[:, -1], n = 1, np.array(list(rows.values()), float)
+    for i, (features, _) in enumerate(rows):
+        x[i, [place[f] for f in features]] = 1
     w = np.zeros(x.shape[1])
     for _ in range(rounds):  # Newton steps
         p = 1 / (1 + np.exp(-(x @ w)))
-        curve = x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
-        w -= np.linalg.solve(curve, x.T @ (p - y) + ridge * w)
-    count: dict[str, list[int]] = {}
-    for b in every:
-        for t in b.tags:
-            count.setdefault(t, [1, 1])[b.label == "main"] += 1
-    off, main = sum(c[0] for c in count.values()), sum(c[1] for c in count.values())
-    return {
-        "bias": float(w[-1]),
-        "word": dict(zip(names, w[:-1].tolist(), strict=True)),
-        "decisive": decisive,
-        "tag": {t: min(-0.01, 0.1 * float(np.log(c[1] / main) - np.log(c[0] / off))) for t, c in count.items()},
-    }
+        curve = x.T @ (x * (n * p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+        w -= np.linalg.solve(curve, x.T @ (n * (p - y)) + ridge * w)
+    return float(w[-1]), dict(zip(names, w[:-1].tolist(), strict=True))
+
+
+def _counted(blocks: list[Block], heard: list[bool]) -> Iterator[list[str]]:
+    """For each block, the names of the tags since the block before whose elements hold a block that is heard."""
+    before = [0, *accumulate(heard)]
+    for b in blocks:
+        yield [t for t, first, end in b.tags if before[end] > before[first]]
+
+
+@lru_cache(maxsize=1)
+def learn(rounds: int = 25, ridge: float = 0.01) -> dict:
+    """Weights from the labelled pages: of features, by logistic regression; of tags, by the share of the gaps between main
+    and other text that hold them against that of the gaps within main text, where a scan would meet both texts. Tags of
+    an element without others in it belong to its words and take the least away."""
+    pages = [read(page) for page in labelled_pages()]
+    bias, word = _regression([b for page in pages for b in page], rounds, ridge)
+    model, seen, gaps = {"bias": bias, "word": word, "tag": {}}, {}, [1, 1]
+    for page in pages:
+        heard = [word_score(b.features, model) > 0 for b in page]
+        passed, last = [], None
+        for b, h, names in zip(page, heard, _counted(page, heard), strict=True):
+            passed += names
+            if h:
+                now = b.label == "main"
+                if last is not None and (now or last):
+                    gaps[now != last] += 1
+                    for t in {t for t in passed if t[-1] == "*"}:
+                        seen.setdefault(t, [1, 1])[now != last] += 1
+                passed, last = [], now
+    model["tag"] = {t: min(-LEAST_TAG, -BORDER * (float(np.log(border / gaps[1] / (within / gaps[0]))) - 1)) for t, (within, border) in seen.items()}
+    return model
+
+
+def word_score(features: frozenset[str], model: dict) -> float:
+    """Between 0 and 1: twice the probability of main text over one half."""
+    z = model["bias"] + sum(model["word"].get(f, 0.0) for f in features)
+    return max(0.0, float(np.tanh(z / 2)))
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -246,11 +316,11 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(html: str | None, model: dict) -> str:
     blocks = read(html or "")
-    word, tag, decisive = model["word"], model["tag"], model["decisive"]
-    each = [min((decisive[f] for f in b.features if f in decisive), default=model["bias"] + sum(word.get(f, 0.0) for f in b.features)) for b in blocks]
-    scores = [x for b, s in zip(blocks, each, strict=True) for x in (sum(tag.get(t, -0.05) for t in b.tags), max(s, 0.0) * b.words)]
-    a, b = best_region(scores)
-    return "\n".join(x.text for i, (x, s) in enumerate(zip(blocks, each, strict=True)) if a <= 2 * i + 1 < b and s > 0)
+    each = [word_score(b.features, model) for b in blocks]
+    tag = model["tag"]
+    cost = [sum(tag.get(t, -LEAST_TAG) for t in names) for names in _counted(blocks, [s > 0 for s in each])]
+    a, z = best_region([x for b, s, c in zip(blocks, each, cost, strict=True) for x in (c, s * b.words)])
+    return "\n".join(x.text for i, (x, s) in enumerate(zip(blocks, each, strict=True)) if a <= 2 * i + 1 < z and s > 0)
 
 
 def extract(pages: DataFrame, html: str = "html", model: dict | None = None) -> DataFrame:

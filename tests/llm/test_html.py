@@ -105,3 +105,39 @@ def test_long_attribute_values_hold_markup():
     for quote, value in (('"', "<p>no</p>'" * 2000), ("'", '{"a": "<b>no</b>"}' * 2000)):
         page = PAGE.format(f"<div data-x={quote}{value}{quote}>Loose</div><script data-y={quote}{value}{quote}>no()</script>")
         assert html.main_text(page, MODEL) == WANT.format("Loose\n")
+
+
+UNSEEN = """<html><body><div class='zq7'><ul><li><a href='/'>Ab</a></li><li><a href='/c'>Cd</a></li></ul></div>
+<div class='vv'><h1>Title of it</h1><p>{}</p><p>Second paragraph here.</p></div>
+<div class='kx'><div><p>Some words here</p></div><p>More of them</p></div></body></html>"""
+
+
+def test_scan_decides_where_names_say_nothing():
+    page = UNSEEN.format("word " * 40)
+    want = "Title of it\n" + "word " * 39 + "word\nSecond paragraph here."
+    assert html.main_text(page, MODEL) == want
+    by_words_alone = [b.text for b in html.read(page) if html.word_score(b.features, MODEL) > 0]
+    assert len(by_words_alone) > 3 and "\n".join(by_words_alone) != want
+
+
+def test_short_parts_of_an_article_stay():
+    inner = "<p>Kicker</p><h1>Title</h1><section><h2>One</h2><p>Few words</p></section><section><h2>Two</h2><div><p>{0}</p><p>{0}</p></div></section><div class='zq'>Ef</div><p>Gh</p>"
+    for frame, words in (("<article>{}</article>", "Ab"), ("<main><div>{}</div></main>", "Ab"), ("<div class='content'>{}</div>", "Ab cd ef gh ij")):
+        page = f"<html><body><nav><a href='/'>Home</a></nav>{frame.format(inner.format(words))}<footer>End</footer></body></html>"
+        assert html.main_text(page, MODEL) == f"Kicker\nTitle\nOne\nFew words\nTwo\n{words}\n{words}\nEf\nGh", frame
+
+
+def test_weights_have_the_signs_of_the_method():
+    assert all(w < 0 for w in MODEL["tag"].values())
+    assert all(0 <= html.word_score(frozenset(f), MODEL) <= 1 for f in ((), ("<p>",), ("<nav>", "links"), ("unheard of",)))
+    assert MODEL["tag"]["/div*"] < -1 and MODEL["tag"]["/ul*"] > -1
+
+
+def test_query_on_a_made_table(spark, tmp_path):
+    from nitscope.llm import queries
+
+    rows = [(1, "u", PAGE.format("")), (1, "u", PAGE.format("")), (None, None, None), (3, "v", "<article><p>Ab</p></article>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((tuple(r) for r in queries.op9_html(spark, str(tmp_path)).collect()), key=str)
+    first = WANT.format("")
+    assert got == sorted([(1, "u", first, len(first))] * 2 + [(None, None, "", 0), (3, "v", "Ab", 2)], key=str)
