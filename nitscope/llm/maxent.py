@@ -1,23 +1,30 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
 Every token has a class, and its probability is P(class | two tokens before) * P(token | class, two tokens before).
-Frequent words (`VOCAB`) lie in `CLASSES` classes of equal size; all other words in `RARE` classes by their first and
-last byte, within which their corpus counts decide; the end of a text is a class of its own. Features are the token
-before (n-gram), the one before that (skip) and both hashed together; a rare word acts as context by its hashed bytes.
-
-Counts of tokens and of neighbours cover all training texts: per-task counters are summed in one shuffle each. Training runs in rounds, each over its
-own part of the training documents: every task makes gradient steps from the round's model over every position of its
-documents, and the results are averaged block by block in two steps, weighted by positions. Scoring is one pass in numpy batches; only words of a smaller share than 1 / `COUNTED` go through a
-shuffle to meet their counts, so no word that many documents share is ever joined.
+The most frequent words (`VOCAB`) lie in `CLASSES` classes of equal size; all other words in `RARE` classes by their first
+and last byte, within which their corpus counts decide; the end of a text is a class of its own. Features are the token
+before (n-gram), the one before that (skip) and both hashed together. Words act as contexts by name as far as they are
+among the first of the corpus, else by their hashed bytes; the number of those names and of the hashed pairs grow with the
+cube root of the training tokens (`grown`), and the counts grow with the corpus itself.
+
+Counts of tokens and of neighbours cover all training texts: per-task counters are summed in one shuffle each. Training runs
+in rounds, each over its own part of the training documents: every task makes gradient steps from the round's model over
+every position of its documents, and the results are averaged block by block in two steps, weighted by positions; the
+weights, and so `score`, depend in their last digits on how rows are dealt to tasks. Scoring is one pass in numpy batches;
+only words that are not among the `COUNTED` most frequent go through a shuffle to meet their counts, so no word that many
+documents share is ever joined.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is scored and in the training part; repeated
-rows are scored, and learned from, as often as they stand there; with no training text every base score is 0.
+rows are scored, and learned from, as often as they stand there; words of equal counts are taken in the order of their
+bytes; very long texts are scored whole, `STEP` positions at a time; columns with the names of the added ones are
+replaced; an empty table gives an empty table, and with no training text every base score is 0.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +35,23 @@ from nitscope.runtime import materialize, unused
 
 SLOTS, CLASSES, RARE = 32, 32, 8
 VOCAB = SLOTS * CLASSES
-#: Words of at least this share of all tokens are frequent: their counts are with every task. There can't be more than
-#: `COUNTED` of them, whatever the corpus; in prose there are a tenth of that.
-COUNTED = 500_000
+#: As many of the most frequent words have their counts with every task (fewer, where words of equal counts would go beyond).
+COUNTED = 200_000
 BYTES_IDS = 512
 CONTEXTS = VOCAB + BYTES_IDS + 1
 PAIRS, ROWS = 4096, 256
 END_CLASS = CLASSES + RARE
 N_CLASSES = CLASSES + RARE + 1
-ROUNDS, STEP, RATE = 2, 8192, 0.15
+ROUNDS, STEP, RATE = 2, 4096, 0.15
 #: The most frequent words that count by name as neighbours when words are sorted into classes.
 NEAR = 96
 ALPHA = 0.1
-#: Documents whose scores a task holds before it hands them on.
-HELD = 500
+#: Training tokens at which the model has its least size, and the growth beyond it.
+LEAST_TOKENS, GROWTH = 1 << 22, 1 / 3
+#: Different tokens that a task counts, and documents that it reads, before it hands on what it has.
+FLUSH, HELD = 100_000, 500
+#: Cells of neighbours that are put together before they are counted.
+CELLS = 1 << 17
 BLOCK = 1 << 14
 NEVER = -1e9
 
@@ -51,28 +61,34 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def byte_id(w: bytes) -> int:
-    return (w[-1] * 31 + w[0] * 7) & (BYTES_IDS - 1)
+def _slices(batches: Iterator[pa.RecordBatch], n: int = HELD) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, n) for b in batches for i in range(0, b.num_rows, n))
+
+
+def grown(least: int, tokens: int) -> int:
+    """A power of two from `least` on that grows with the cube root of the number of tokens."""
+    return least << max(0, int(np.log2(max(tokens, 1) / LEAST_TOKENS) * GROWTH))
 
 
 # ---- counts
 
 
-def count_tokens(texts: DataFrame, text: str = "text", flush: int = 200_000) -> DataFrame:
-    """(token, n) over all rows; the end token is the empty string."""
+def count_tokens(texts: DataFrame, text: str = "text", flush: int = FLUSH) -> DataFrame:
+    """(token, n) over all rows; the end token is the empty string. A task holds at most `flush` different tokens and
+    those of one text more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()).cast(pa.string()), pa.array(list(count.values()), pa.int64())], names=["token", "n"])
 
         count: Counter[bytes] = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                count.update(words_of(t))
-            count[b""] += b.num_rows
-            if len(count) > flush:
-                yield out()
-                count = Counter()
+        for b in _slices(batches):
+            for i in range(b.num_rows):
+                count.update(words_of(b.column(0)[i].as_py()))
+                count[b""] += 1
+                if len(count) > flush:
+                    yield out()
+                    count.clear()
         if count:
             yield out()
 
@@ -89,16 +105,20 @@ def count_neighbours(texts: DataFrame, vocab: list[bytes], text: str = "text") -
     ids, width = {w: i for i, w in enumerate(vocab)}, 2 * (NEAR + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.zeros(VOCAB * width, np.int64)
-        for b in batches:
+        near, held, size = np.zeros(VOCAB * width, np.int64), [], 0
+        for b in _slices(batches):
             for t in b.column(0).to_pylist():
-                seq = np.array([ids.get(w, -1) for w in words_of(t)])
-                if len(seq) < 2:
-                    continue
+                words = words_of(t)
+                seq = np.fromiter(map(ids.get, words, repeat(-1)), np.int32, len(words))
                 edge = np.where((seq >= 0) & (seq < NEAR), seq, NEAR)
                 x, y = seq[:-1] >= 0, seq[1:] >= 0
-                np.add.at(near, seq[:-1][x] * width + edge[1:][x], 1)
-                np.add.at(near, seq[1:][y] * width + NEAR + 1 + edge[:-1][y], 1)
+                held += [seq[:-1][x] * width + edge[1:][x], seq[1:][y] * width + NEAR + 1 + edge[:-1][y]]
+                size += len(words)
+                if size > CELLS:
+                    near += np.bincount(np.concatenate(held), minlength=len(near))
+                    held, size = [], 0
+        if held:
+            near += np.bincount(np.concatenate(held), minlength=len(near))
         at = np.flatnonzero(near)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(near[at])], names=["cell", "n"])
 
@@ -131,8 +151,9 @@ def sort_into_classes(near: np.ndarray) -> np.ndarray:
 # ---- model
 
 
-def new_model(counts: np.ndarray, place: np.ndarray, rare_mass: np.ndarray, end: float) -> dict:
-    """Biases that give the unigram distribution; all other weights zero. Places without a word can't be chosen."""
+def new_model(counts: np.ndarray, place: np.ndarray, rare_mass: np.ndarray, end: float, named: int = 0, pairs: int = PAIRS) -> dict:
+    """Biases that give the unigram distribution; all other weights zero. Places without a word can't be chosen. `named`:
+    words besides the vocabulary that are contexts by name."""
     inner = np.full(VOCAB, NEVER, np.float32)
     inner[place[: len(counts)]] = np.log(np.maximum(counts, 0.5))
     mass = np.zeros(N_CLASSES)
@@ -140,9 +161,9 @@ def new_model(counts: np.ndarray, place: np.ndarray, rare_mass: np.ndarray, end:
     mass[CLASSES:END_CLASS], mass[END_CLASS] = rare_mass, max(end, 0.5)
     return {
         "bias": np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), NEVER).astype(np.float32)[None, :],
-        "before": np.zeros((CONTEXTS, N_CLASSES), np.float32),
-        "skip": np.zeros((CONTEXTS, N_CLASSES), np.float32),
-        "pair": np.zeros((PAIRS, N_CLASSES), np.float32),
+        "before": np.zeros((CONTEXTS + named, N_CLASSES), np.float32),
+        "skip": np.zeros((CONTEXTS + named, N_CLASSES), np.float32),
+        "pair": np.zeros((pairs, N_CLASSES), np.float32),
         "in_bias": inner.reshape(CLASSES, SLOTS),
         "in_before": np.zeros((ROWS * CLASSES, SLOTS), np.float32),
         "in_skip": np.zeros((ROWS * CLASSES, SLOTS), np.float32),
@@ -150,89 +171,152 @@ def new_model(counts: np.ndarray, place: np.ndarray, rare_mass: np.ndarray, end:
 
 
 class Tokens:
-    """Turns texts into flat arrays of ids: place of the token (VOCAB + rare class, or the end), context ids."""
-
-    def __init__(self, vocab: dict[bytes, int]):
-        self.place = vocab.get
-
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(class or place code, context id) of each word and the end. Codes: a place under VOCAB, or VOCAB + class."""
-        get = self.place
-        found = np.array([get(w, -1) for w in words], np.int64)
+    """Turns texts into flat arrays of ids: place of the token (VOCAB + rare class, or the end), context ids.
+
+    `vocab` has the places of its words; `named` are further words, of which the first `names` are contexts by name."""
+
+    def __init__(self, vocab: dict[bytes, int], named: Sequence[bytes] = (), names: int = 0):
+        every = [*vocab, *named]
+        self.ids = {w: i for i, w in enumerate(every)}
+        self.context = np.array([(VOCAB + self.hashed(w)) if w else 0 for w in every] or [0], np.int64)
+        self.code = self.rare_class(self.context)
+        self.context[: len(vocab)] = self.code[: len(vocab)] = list(vocab.values())
+        self.context[len(vocab) : len(vocab) + names] = CONTEXTS + np.arange(min(names, len(named)))
+
+    @staticmethod
+    def hashed(w: bytes) -> int:
+        return (w[-1] * 31 + w[0] * 7) & (BYTES_IDS - 1)
+
+    @staticmethod
+    def rare_class(context: np.ndarray) -> np.ndarray:
+        return VOCAB + CLASSES + ((context - VOCAB) & (RARE - 1))
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code, context, id) of each word. Codes: a place under VOCAB, or VOCAB + class; ids: -1 where unknown."""
+        found = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+        code, context = self.code[found], self.context[found]
         at = np.flatnonzero(found < 0)
-        seen = np.array([(w[-1] * 31 + w[0] * 7) & (BYTES_IDS - 1) for w in map(words.__getitem__, at.tolist())], np.int64)
-        context = found.copy()
-        context[at] = VOCAB + seen
-        found[at] = VOCAB + CLASSES + (seen & (RARE - 1))
-        return np.append(found, VOCAB + END_CLASS), context
-
-    def positions(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(code, token before, token before that) of every position, the end included; CONTEXTS - 1 stands outside."""
-        code, context = self.read(words)
+        if len(at):
+            context[at] = seen = [VOCAB + ((w[-1] * 31 + w[0] * 7) & (BYTES_IDS - 1)) for w in map(words.__getitem__, at.tolist())]
+            code[at] = self.rare_class(np.array(seen))
+        return code, context, found
+
+    def positions(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(code, token before, token before that) of every position, the end included, where CONTEXTS - 1 stands outside;
+        and the ids of the words."""
+        code, context, found = self.read(words)
         line = np.concatenate(([CONTEXTS - 1, CONTEXTS - 1], context))
-        return code, line[1:], line[:-1]
+        return np.append(code, VOCAB + END_CLASS), line[1:], line[:-1], found
 
 
-def _parts(code, before, skip):
+def _parts(model, code, before, skip):
     cls = np.where(code < VOCAB, code // SLOTS, code - VOCAB)
-    pair = ((before * 7919 + skip * 104729) >> 3) % PAIRS
+    pair = ((before * 7919 + skip * 104729) >> 3) % len(model["pair"])
     return cls, pair, before % ROWS, skip % ROWS
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    """In place; the largest bias is 0, so that only weights far beyond any that training gives would need the cut."""
+    np.exp(np.minimum(z, 80, out=z), out=z)
+    z /= np.maximum(z @ np.ones(z.shape[1], np.float32), np.float32(1e-30))[:, None]
     return z
 
 
+class Scorer:
+    """Log-probabilities under a model. The sums of the softmax are products of exponentials that are taken once for each
+    weight, not for each position; where such a sum leaves the range of its numbers, it is taken the plain way."""
+
+    def __init__(self, model: dict):
+        bias, inner = model["bias"] - model["bias"].max(), model["in_bias"] - model["in_bias"].max()
+        with_bias = {"before": model["before"] + bias, "in_before": (model["in_before"].reshape(ROWS, CLASSES, SLOTS) + inner).reshape(-1, SLOTS)}
+        self.log = {k: v for k, v in model.items() if "bias" not in k} | with_bias
+        with np.errstate(over="ignore"):
+            self.exp = {k: np.exp(v) for k, v in self.log.items()}
+
+    def _picked(self, rows: dict[str, np.ndarray], column: np.ndarray) -> np.ndarray:
+        """The log of the softmax over the sums of these rows, at one column each."""
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            product = None
+            for k, r in rows.items():
+                e = self.exp[k].take(r, axis=0)
+                product = e if product is None else np.multiply(product, e, out=product)
+            total = product @ np.ones(product.shape[1], np.float32)
+            norm = np.log(total, dtype=np.float64)
+        bad = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
+        if len(bad):
+            z = sum(self.log[k][r[bad]].astype(np.float64) for k, r in rows.items())
+            high = z.max(axis=1)
+            norm[bad] = high + np.log(np.exp(z - high[:, None]).sum(axis=1))
+        return sum(self.log[k][r, column].astype(np.float64) for k, r in rows.items()) - norm
+
+    def log_probs(self, code: np.ndarray, before: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Natural log of P(class) and, for frequent words, of P(word | class), at each position."""
+        cls, pair, r1, r2 = _parts(self.log, code, before, skip)
+        out = self._picked({"before": before, "skip": skip, "pair": pair}, cls)
+        f = np.flatnonzero(code < VOCAB)
+        if len(f):
+            c = cls[f]
+            out[f] += self._picked({"in_before": r1[f] * CLASSES + c, "in_skip": r2[f] * CLASSES + c}, code[f] % SLOTS)
+        return out
+
+
+def log_probs(self, code: np.ndarray, before: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Natural log of P(class) and, for frequent words, of P(word | class), at each position."""
+        m = self.model
+        cls, pair, r1, r2 = _parts(m, code, before, skip)
+        none = np.zeros(len(code), np.int64)
+        out = (m["before"][before, cls].astype(np.float64) + m["skip"][skip, cls] + m["pair"][pair, cls] + m["bias"][0, cls]) - self._norm(["before", "skip", "pair", "bias"], [before, skip, pair, none], m["bias"])
+        f = np.flatnonzero(code < VOCAB)
+        if len(f):
+            c, slot = cls[f], code[f] % SLOTS
+            i1, i2 = r1[f] * CLASSES + c, r2[f] * CLASSES + c
+            out[f] += (m["in_before"][i1, slot].astype(np.float64) + m["in_skip"][i2, slot] + m["in_bias"][c, slot]) - self._norm(["in_before", "in_skip", "in_bias"], [i1, i2, c], m["in_bias"])
+        return out
+
+
 def log_probs(model: dict, code: np.ndarray, before: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """Natural log of P(class) and, for frequent words, of P(word | class), at each position."""
-    cls, pair, r1, r2 = _parts(code, before, skip)
-    z = model["before"][before]
-    z += model["skip"][skip]
-    z += model["pair"][pair]
-    z += model["bias"]
-    n = np.arange(len(code))
-    top = z.max(axis=1)
-    out = (z[n, cls] - top).astype(np.float64)
-    z -= top[:, None]
-    out -= np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
-    f = np.flatnonzero(code < VOCAB)
-    if len(f):
-        c = cls[f]
-        z = model["in_before"][r1[f] * CLASSES + c]
-        z += model["in_skip"][r2[f] * CLASSES + c]
-        z += model["in_bias"][c]
-        top = z.max(axis=1)
-        won = (z[np.arange(len(f)), code[f] % SLOTS] - top).astype(np.float64)
-        z -= top[:, None]
-        out[f] += won - np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
-    return out
+    return Scorer(model).log_probs(code, before, skip)
 
 
 def _descend(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
     """One step: the errors of equal rows are summed, each weight moves by its own rate."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32), kind="stable")
     r = rows[order]
     first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    g = np.add.reduceat(error[order], first, axis=0)
+    g = np.add.reduceat(error.take(order, axis=0), first, axis=0)
     r = r[first]
-    seen[r] += g * g
-    table[r] -= RATE * g / np.sqrt(seen[r] + 1.0)
+    sums, now = seen.take(r, axis=0), table.take(r, axis=0)
+    step = g * g
+    sums += step
+    seen[r] = sums
+    sums += 1
+    np.sqrt(sums, out=sums)
+    g /= sums
+    g *= RATE
+    now -= g
+    table[r] = now
+
+
+def _sum_of_rows(model: dict, names: tuple[str, ...], rows: tuple[np.ndarray, ...]) -> np.ndarray:
+    z = model[names[0]].take(rows[0], axis=0)
+    for k, r in zip(names[1:], rows[1:], strict=True):
+        z += model[k].take(r, axis=0)
+    return z
 
 
 def steps(model: dict, seen: dict, code: np.ndarray, before: np.ndarray, skip: np.ndarray) -> None:
     """A gradient step on these positions, in place."""
-    cls, pair, r1, r2 = _parts(code, before, skip)
+    cls, pair, r1, r2 = _parts(model, code, before, skip)
     n = np.arange(len(code))
-    e = _softmax(model["before"][before] + model["skip"][skip] + model["pair"][pair] + model["bias"])
-    e[n, cls] -= 1
+    e = _sum_of_rows(model, ("before", "skip", "pair"), (before, skip, pair))
+    e += model["bias"] - model["bias"].max()
+    _softmax(e)[n, cls] -= 1
     f = np.flatnonzero(code < VOCAB)
     c = cls[f]
     i1, i2 = r1[f] * CLASSES + c, r2[f] * CLASSES + c
-    w = _softmax(model["in_before"][i1] + model["in_skip"][i2] + model["in_bias"][c])
-    w[np.arange(len(f)), code[f] % SLOTS] -= 1
+    w = _sum_of_rows(model, ("in_before", "in_skip"), (i1, i2))
+    w += (model["in_bias"] - model["in_bias"].max())[c]
+    _softmax(w)[np.arange(len(f)), code[f] % SLOTS] -= 1
     for name, rows, error in (("before", before, e), ("skip", skip, e), ("pair", pair, e), ("in_before", i1, w), ("in_skip", i2, w)):
         if len(rows):
             _descend(model[name], seen[name], rows, error)
@@ -265,18 +349,19 @@ def _mean(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block")[:1], "part": t.column("part")[:1], "n": pa.array([n.sum()]), "w": pa.array([mean.tobytes()], pa.binary())})
 
 
-def train_round(texts: DataFrame, model: dict, vocab: dict[bytes, int], text: str = "text") -> dict:
-    """Gradient steps from `model` in every task, then the weighted mean of what the tasks have."""
+def train_round(texts: DataFrame, model: dict, vocab: dict[bytes, int], text: str = "text", named: Sequence[bytes] = ()) -> dict:
+    """Gradient steps from `model` in every task, then the weighted mean of what the tasks have, in two steps: of about
+    the square root of the number of tasks in each, so that no group holds more blocks than that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Tokens(vocab)
+        read = Tokens(vocab, named, len(named))
         mine = {k: v.copy() for k, v in model.items()}
         seen = {k: np.zeros_like(v) for k, v in model.items() if "bias" not in k}
         held: list[tuple] = []
         size = used = 0
-        for b in batches:
+        for b in _slices(batches):
             for t in b.column(0).to_pylist():
-                held.append(read.positions(words_of(t)))
+                held.append(read.positions(words_of(t))[:3])
                 size += len(held[-1][0])
                 if size >= STEP:
                     whole = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -290,9 +375,10 @@ def train_round(texts: DataFrame, model: dict, vocab: dict[bytes, int], text: st
             w = _blocks(mine)
             from pyspark import TaskContext
 
-            part = TaskContext.get().partitionId() % 64
+            part = TaskContext.get().partitionId() % width
             yield pa.RecordBatch.from_arrays([pa.array(range(len(w)), pa.int32()), pa.array([part] * len(w), pa.int32()), pa.array([float(used)] * len(w)), pa.array([x.tobytes() for x in w], pa.binary())], names=["block", "part", "n", "w"])
 
+    width = max(1, int(texts._jdf.rdd().getNumPartitions() ** 0.5))
     schema = "block int, part int, n double, w binary"
     some = texts.select(text).mapInArrow(run, schema).groupBy("block", "part").applyInArrow(_mean, schema)
     got = {r["block"]: r["w"] for r in some.groupBy("block").applyInArrow(_mean, schema).select("block", "w").collect()}
@@ -304,14 +390,27 @@ def train_round(texts: DataFrame, model: dict, vocab: dict[bytes, int], text: st
 # ---- the whole
 
 
+def most_frequent(counts: DataFrame, n: int) -> list[tuple[bytes, int]]:
+    """The `n` most frequent words with their counts, or fewer: words of equal counts come all or not at all, unless there
+    is room for all words. One row for each different count comes to the driver beside them."""
+    words = counts.where("token <> ''")
+    least, room = 1, n
+    for r in words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(n + 1).collect():
+        room -= r["words"]
+        if room < 0:
+            least = r["n"] + 1
+            break
+    return sorted(((r["token"].encode(), r["n"]) for r in words.where(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def train(texts: DataFrame, text: str = "text") -> dict:
     """Everything that scoring needs: the model, its words, the frequent words' counts, totals, and the counts table."""
     counts = materialize(count_tokens(texts, text), "lm-counts")
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where((F.col("token") != "") & (F.col("n") * COUNTED >= total)).collect()
-    top = sorted(((r["token"].encode(), r["n"]) for r in frequent), key=lambda x: (-x[1], x[0]))
+    top = most_frequent(counts, COUNTED)
     end = (counts.where("token = ''").agg(F.sum("n")).first()[0]) or 0
-    words = [w for w, _ in top[:VOCAB]]
+    words, more = [w for w, _ in top[:VOCAB]], grown(VOCAB, total)
+    named = [w for w, _ in top[VOCAB:more]]
     place = sort_into_classes(count_neighbours(texts, words, text))
     vocab = {w: int(place[i]) for i, w in enumerate(words)}
     # mass of the rare classes: all counted types that are no vocabulary word, and one unseen type each
@@ -323,55 +422,59 @@ def train(texts: DataFrame, text: str = "text") -> dict:
     mass = np.full(RARE, ALPHA)
     for r in groups:
         mass[r["g"]] += r["m"]
-    model = new_model(np.array([n for _, n in top[:VOCAB]], float), place, mass, end)
+    model = new_model(np.array([n for _, n in top[:VOCAB]], float), place, mass, end, len(named), grown(PAIRS, total))
     for k in range(ROUNDS):
         part = texts.where(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(ROUNDS)) == k)
-        model = train_round(part, model, vocab, text)
-    return {"model": model, "vocab": vocab, "known": dict(top), "end": end, "total": total, "types": types, "rare_log": np.log10(mass), "counts": counts}
+        model = train_round(part, model, vocab, text, named)
+    return {"model": model, "vocab": vocab, "names": len(named), "known": dict(top), "end": end, "total": total, "types": types, "rare_log": np.log10(mass), "counts": counts}
+
+
+ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def score(docs: DataFrame, fitted: dict, text: str = "text") -> DataFrame:
     """`docs` without the text, plus n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    model, vocab, known, rare_log = (fitted[k] for k in ("model", "vocab", "known", "rare_log"))
+    model, vocab, known, rare_log, names = (fitted[k] for k in ("model", "vocab", "known", "rare_log", "names"))
     end, total, types = fitted["end"], fitted["total"], fitted["types"]
-    keep = [c for c in docs.columns if c != text]
-    row = unused("__row", docs.columns)
-    given = docs.select(F.monotonically_increasing_id().alias(row), *(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(unused("__text", docs.columns)))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    names = [f.name for f in given.schema.fields[:-1]] + ["n_tokens", "n_seen", "log_seen", "log_rare", "log_model", "strange"]
+    named = [w for w in known if w not in vocab]
+    log_known = np.log10(np.array([known[w] for w in (*vocab, *named)] or [1], float) + ALPHA)
+    keep = [c for c in docs.columns if c != text and c.lower() not in ADDED]
+    own = {k: unused(f"__{k}", docs.columns) for k in ("row", "text", "tokens", "seen", "log_seen", "log_rare", "log_model", "strange", "token", "log_strange", "n_strange")}
+    given = docs.select(F.monotonically_increasing_id().alias(own["row"]), *(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(own["text"]))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
+    new = {own["tokens"]: "long", own["seen"]: "long", own["log_seen"]: "double", own["log_rare"]: "double", own["log_model"]: "double", own["strange"]: "array<string>"}
+    columns = [*(f.name for f in given.schema.fields[:-1]), *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, tenth = Tokens(vocab), np.log(10)
-        logs = {w: float(np.log10(n + ALPHA)) for w, n in known.items()}
-        get, log_end = logs.get, float(np.log10(end + ALPHA))
-        for b in (b.slice(i, HELD) for b in batches for i in range(0, b.num_rows, HELD)):
+        read, scorer, tenth = Tokens(vocab, named, names), Scorer(model), np.log(10)
+        log_end = float(np.log10(end + ALPHA))
+        for b in _slices(batches):
             rows = []
             for t in b.column(b.num_columns - 1).to_pylist():
                 words = words_of(t)
-                code, before, skip = read.positions(words)
-                mine = np.array([get(w, -9.0) for w in words], np.float64)
-                new, rare = mine < -8, code[:-1] >= VOCAB
-                groups = code[:-1][rare] - VOCAB - CLASSES
-                log = sum(float(log_probs(model, code[a : a + STEP], before[a : a + STEP], skip[a : a + STEP]).sum()) for a in range(0, len(code), STEP))
-                seen = float(mine[~new].sum()) + log_end
-                inner = float(mine[rare & ~new].sum()) - float(rare_log[groups].sum())
-                rows.append((len(code), len(words) - int(new.sum()) + (end > 0), seen, inner, log / tenth, [words[i] for i in np.flatnonzero(new).tolist()]))
+                code, before, skip, found = read.positions(words)
+                old, rare = found >= 0, code[:-1] >= VOCAB
+                mine = log_known[found]  # without meaning where the word is not known
+                log = sum(float(scorer.log_probs(code[a : a + STEP], before[a : a + STEP], skip[a : a + STEP]).sum()) for a in range(0, len(code), STEP))
+                inner = float(mine[rare & old].sum()) - float(rare_log[code[:-1][rare] - VOCAB - CLASSES].sum())
+                rows.append((len(code), int(old.sum()) + (end > 0), float(mine[old].sum()) + log_end, inner, log / tenth, [words[i] for i in np.flatnonzero(~old).tolist()]))
             if rows:
                 c = list(zip(*rows, strict=True))
-                new_columns = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.float64()) for x in c[2:5]), pa.array(c[5], pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new_columns], names=names)
-
-    out = materialize(given.mapInArrow(run, f"{kinds}, n_tokens long, n_seen long, log_seen double, log_rare double, log_model double, strange array<string>"), "lm-scored")
-    asked = out.select(row, F.explode("strange").alias("token"))
-    met = asked.join(fitted["counts"].hint("shuffle_hash"), "token", "left")
-    sums = met.groupBy(row).agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("log_strange"), F.count("n").alias("n_strange"))
-    whole = out.drop("strange").join(sums, row, "left").withColumn("log_strange", F.coalesce("log_strange", F.lit(0.0)))
+                arrays = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.float64()) for x in c[2:5]), pa.array(c[5], pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=columns)
+
+    out = materialize(given.mapInArrow(run, kinds + ", ".join(f"`{k}` {v}" for k, v in new.items())), "lm-scored")
+    asked = out.select(own["row"], F.explode(own["strange"]).alias(own["token"]))
+    met = asked.join(fitted["counts"].select(F.col("token").alias(own["token"]), "n").hint("shuffle_hash"), own["token"], "left")
+    sums = met.groupBy(own["row"]).agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias(own["log_strange"]), F.count("n").alias(own["n_strange"]))
+    whole = out.drop(own["strange"]).join(sums, own["row"], "left")
+    log_strange = F.coalesce(own["log_strange"], F.lit(0.0))
     norm = float(np.log10(total + ALPHA * (types + 1)))
     return whole.select(
         *(F.col(f"`{c}`") for c in keep),
-        "n_tokens",
-        (F.col("n_seen") + F.coalesce("n_strange", F.lit(0))).alias("n_known"),
+        F.col(own["tokens"]).alias("n_tokens"),
+        (F.col(own["seen"]) + F.coalesce(own["n_strange"], F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("log_seen") + F.col("log_strange") - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("log_model") + F.col("log_rare") + F.col("log_strange")).alias("score"),
+        (F.col(own["log_seen"]) + log_strange - F.col(own["tokens"]) * norm).alias("base_score"),
+        (F.col(own["log_model"]) + F.col(own["log_rare"]) + log_strange).alias("score"),
     )
