@@ -8,7 +8,8 @@ bit away in the other two blocks. Two fingerprints meet under such a value exact
 and all that meet are linked to the smallest, so the work is linear in the size of the filing and no link is lost.
 
 Defined cases: null or empty text has fingerprint 0 and is linked like any other; a null doc_id stays a row of its own
-group but never gives a component its name unless no other id is there; repeated rows come back as often as they came.
+group but never gives a component its name unless no other id is there; repeated rows come back as often as they came;
+a very long text is hashed `CHUNK` shingles at a time; other columns are not looked at; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -139,11 +140,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, find=near_duplicates) -> DataFrame:
-    """One row of each component of `docs`, as `find` has them by key: of those whose doc_id names the component, the first by all columns.
-    A row without doc_id counts as one with an id that is larger than any other and follows from its text."""
+    """One row of each component of `docs`, as `find` has them by key: of the rows with the smallest doc_id, one with the
+    least hash of its text, and of those the first by all columns. A row is told by its doc_id and its text, so rows
+    that share an id and nothing else are judged apart. A row without doc_id counts as one with an id that is larger
+    than any other and follows from its text; an empty table gives an empty table."""
     cols, k = docs.columns, unused("__key", docs.columns)
-    late = F.shiftrightunsigned(F.xxhash64(F.col("text")), 2) + F.lit(1 << 62)
-    keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), late))
+    h = F.xxhash64(F.col("text"))
+    late = F.shiftrightunsigned(h, 2) + F.lit(1 << 62)
+    keyed = docs.withColumn(k, F.struct(F.coalesce(F.col("doc_id").cast("long"), late).alias("id"), h.alias("h")))
     chosen = find(keyed, key=k).where(F.col("key") == F.col("component")).select(F.col("key").alias(k)).distinct()
     whole = F.min(F.struct(*(F.col(f"`{c}`") for c in cols))).alias("r")
     return keyed.join(chosen, k, "left_semi").groupBy(k).agg(whole).select("r.*")
