@@ -7,11 +7,13 @@ overlapping bands of diagonals holds them all. Bands that reach that count are a
 
 The work on a document is a rolling hash over its characters and a table look-up; only hits go further. The benchmark is
 handed to the tasks in blocks of at most `BLOCK_CHARS` characters, each with its own pass over the documents, so what is
-broadcast has a fixed bound and a larger benchmark takes more passes.
+broadcast has a fixed bound (an index of a full block takes less than 64 MB) and a larger benchmark takes more passes.
 
 Defined cases: null or empty texts are in no result and in no item; an item of fewer than Q characters can't be told
-from ordinary text and is never reported; equal items are each reported; a row is judged as often as it stands in the
-table; an empty table or benchmark gives no results.
+from ordinary text and is never reported; equal items, and ties between them, are each reported; a row is judged as often
+as it stands in the table; a text of any length is read whole, `SCAN` characters at a time; of the columns only key and
+text are looked at, and where the item's key has the name of the document's it becomes `item_` and that name; an empty
+table or benchmark gives no results.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Q = 10
 EDIT_SHARE = 0.08
 UNIT, STEP, WHOLE = 72, 24, 90
-BLOCK_CHARS = 8_000_000
-#: Characters of several documents that are scanned together.
-SCAN = 1 << 20
+BLOCK_CHARS = 1_000_000
+#: Characters that are scanned together, of several documents or one, and those that parts of one share: more than any
+#: unit and its edits.
+SCAN, OVERLAP = 1 << 20, 256
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 22
 
@@ -37,7 +42,7 @@ _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
 def normal(text: str | None) -> str:
-    return " ".join(_WORDS.findall((text or "").lower()))
+    return " ".join(w.lower() for w in _WORDS.findall(text or ""))
 
 
 def edits_allowed(m: int) -> int:
@@ -94,8 +99,8 @@ class Index:
             for u in units(normal(text)):
                 g = gram_hashes(codes(u))
                 grams.append(g)
-                owner.append(np.full(len(g), len(self.unit)))
-                place.append(np.arange(len(g)))
+                owner.append(np.full(len(g), len(self.unit), np.int32))
+                place.append(np.arange(len(g), dtype=np.uint8))
                 self.item.append(key)
                 self.unit.append(u)
         if not grams:
@@ -103,8 +108,8 @@ class Index:
         g, o, p = map(np.concatenate, (grams, owner, place))
         order = np.argsort(g, kind="stable")
         self.owner, self.place = o[order], p[order]
-        self.grams, self.first = np.unique(g[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(g)))
+        self.grams, first = np.unique(g[order], return_index=True)
+        self.first = np.append(first, len(g)).astype(np.int32)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.grams >> np.uint64(64 - TABLE_BITS)] = True
         self.width = np.array([edits_allowed(len(u)) + 1 for u in self.unit])
@@ -125,7 +130,7 @@ class Index:
         at, k = at[same], k[same]
         found, cut = [], 1 << 18
         while len(at):  # a common q-gram may stand at many places of many units: bounded amounts at a time, whole texts
-            total = np.cumsum(self.count[k])
+            total = np.cumsum(self.first[k + 1] - self.first[k], dtype=np.int64)
             n = max(1, int(np.searchsorted(total, cut)))
             if n < len(at):
                 text_of = np.searchsorted(begin, at, side="right") - 1
@@ -136,11 +141,11 @@ class Index:
         return found
 
     def _bands(self, joined, begin, lens, at, k):
-        times = self.count[k]
+        times = self.first[k + 1] - self.first[k]
         rows = np.repeat(np.arange(len(k)), times)
         inner = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
         posting = self.first[k][rows] + inner
-        unit = self.owner[posting]
+        unit = self.owner[posting].astype(np.int64)
         diagonal = at[rows] - self.place[posting] + (1 << 20)
         band = diagonal // self.width[unit]
         both = np.concatenate((unit * (1 << 40) + band, unit * (1 << 40) + band - 1))
@@ -190,24 +195,29 @@ def align(unit: str, region: str, k: int, low: int, width: int) -> tuple[int, in
 
 
 def _blocks_of(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
-    """The items in blocks of about `BLOCK_CHARS` characters; one block is on the driver at a time."""
-    total = items.agg(F.sum(F.length(text))).first()[0] or 0
-    parts = -(-total // BLOCK_CHARS)
-    for i in range(parts):
-        chosen = items.where(F.pmod(F.xxhash64(item_id, text), F.lit(parts)) == i)
-        yield [tuple(r) for r in chosen.select(item_id, text).where(F.col(text).isNotNull()).collect()]
+    """The items in blocks of about `BLOCK_CHARS` characters; one block is on the driver at a time. An item that is longer
+    than a block is cut into parts that share as many characters as a unit has, so that every unit lies in one of them."""
+    width = F.lit(BLOCK_CHARS // 2)
+    cut = F.when(F.length("t") <= BLOCK_CHARS, F.array(F.col("t"))).otherwise(F.transform(F.sequence(F.lit(1), F.length("t"), width), lambda a: F.substr("t", a, width + 4 * WHOLE)))
+    parts = items.select(F.col(f"`{item_id}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL").select("k", F.posexplode(cut).alias("i", "t"))
+    total = parts.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = -(-total // BLOCK_CHARS)
+    for i in range(blocks):
+        yield [tuple(r) for r in parts.where(F.pmod(F.xxhash64("k", "i", "t"), F.lit(blocks)) == i).select("k", "t").collect()]
 
 
 def _scan(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
-    held, rows, size = [], [], 0
+    held, places, size = [], [], 0
     for i, t in enumerate([*texts, None]):
-        if i < len(texts) and (s := normal(t)):
-            held.append(s)
-            rows.append(i)
-            size += len(s)
-        if held and (size > SCAN or i == len(texts)):
-            yield from ((rows[j], *rest) for j, *rest in index.search(held))
-            held, rows, size = [], [], 0
+        s = normal(t) if i < len(texts) else ""
+        for a in range(0, max(len(s) - OVERLAP, min(len(s), 1)), SCAN - OVERLAP):
+            held.append(s[a : a + SCAN])
+            places.append((i, a))
+            size += len(held[-1])
+            if size >= SCAN:
+                yield from ((places[j][0], u, places[j][1] + s0, places[j][1] + e0, n) for j, u, s0, e0, n in index.search(held))
+                held, places, size = [], [], 0
+    yield from ((places[j][0], u, places[j][1] + s0, places[j][1] + e0, n) for j, u, s0, e0, n in index.search(held))
 
 
 def _original(text: str, start: int, end: int) -> tuple[int, int]:
@@ -226,8 +236,10 @@ def _original(text: str, start: int, end: int) -> tuple[int, int]:
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, edits, units): one row for each document and item that it holds a unit of: the
     stretch of the document from the first to the last such unit, the fewest edits, and how many units were found."""
-    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"{key} {kind}, {item_id} {item_kind}, start long, end long, edits int, units int"
+    item_name = item_id if item_id.lower() != key.lower() else f"item_{item_id}"
+    kinds = docs.schema[key].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    schema = StructType.fromDDL(f"`{key}` {kinds[0]}, `{item_name}` {kinds[1]}, start long, end long, edits int, units int")
+    target = to_arrow_schema(schema)
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks_of(items, item_id, item_text):
         index = Index(block)
@@ -241,11 +253,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
                     x[:3] = min(x[0], s), max(x[1], e), min(x[2], n)
                     x[3].add(u)
                 if by:
-                    rows = [(names[i].as_py(), item, *_original(texts[i].lower(), s, e), n, len(us)) for (i, item), (s, e, n, us) in by.items()]
-                    columns = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[key, item_id, "start", "end", "edits", "units"]).cast(target)
+                    rows = [(names[i].as_py(), item, *_original(texts[i], s, e), n, len(us)) for (i, item), (s, e, n, us) in by.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
-        target = pa.schema([(key, pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), (item_id, pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("units", pa.int32())])
         out = out.unionByName(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema))
     return out
 
