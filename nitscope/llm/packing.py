@@ -6,7 +6,9 @@ While the total exceeds the bound of the whole table, every group gives back the
 more the further it is over its own bound; these are dealt anew and packed again, as long as that saves sequences.
 
 Defined cases: a null or empty text is one piece, the end id alone; a row is packed as often as it stands in the
-table, whatever its doc_id; an empty table gives no pieces; other columns are not looked at.
+table, whatever its doc_id; pieces of equal length take their places in the order of document, piece and checksum; a very
+long text is encoded whole, as one document of the table; an empty table gives no pieces; other columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations
@@ -121,7 +123,8 @@ def _pack_groups(df: DataFrame, groups: int, round_no: int, columns: list[str],
             t = t.append_column(name, pa.array(v, pa.int64()))
         return t
 
-    dealt = given.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(round_no)), F.lit(groups)))
+    # Dealt by the number of the row in the table that is read, so that no document or id decides where its pieces go.
+    dealt = given.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_no)), F.lit(groups)))
     out = f"{schema}, grp long, seq long, offset long, room long, n_seq long, bound long"
     return dealt.groupBy("grp").applyInArrow(run, out)
 
