@@ -50,7 +50,7 @@ ALPHA = 0.1
 LEAST_TOKENS, GROWTH = 1 << 22, 1 / 3
 #: Different tokens that a task counts, and documents that it reads, before it hands on what it has.
 FLUSH, HELD = 100_000, 500
-#: Cells of neighbours that are put together before they are counted.
+#: Words whose neighbours are counted at a time.
 CELLS = 1 << 17
 BLOCK = 1 << 14
 NEVER = -1e9
@@ -105,20 +105,16 @@ def count_neighbours(texts: DataFrame, vocab: list[bytes], text: str = "text") -
     ids, width = {w: i for i, w in enumerate(vocab)}, 2 * (NEAR + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, held, size = np.zeros(VOCAB * width, np.int64), [], 0
-        for b in _slices(batches):
-            for t in b.column(0).to_pylist():
-                words = words_of(t)
-                seq = np.fromiter(map(ids.get, words, repeat(-1)), np.int32, len(words))
-                edge = np.where((seq >= 0) & (seq < NEAR), seq, NEAR)
-                x, y = seq[:-1] >= 0, seq[1:] >= 0
-                held += [seq[:-1][x] * width + edge[1:][x], seq[1:][y] * width + NEAR + 1 + edge[:-1][y]]
-                size += len(words)
-                if size > CELLS:
-                    near += np.bincount(np.concatenate(held), minlength=len(near))
-                    held, size = [], 0
-        if held:
-            near += np.bincount(np.concatenate(held), minlength=len(near))
+        near = np.zeros(VOCAB * width, np.int64)
+        for _, texts in _held(batches, 0, CELLS):
+            words = [w for t in texts for w in (*t, None)]
+            seq = np.fromiter(map(ids.get, words, repeat(-1)), np.int32, len(words))
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+            inner = np.ones(len(seq), bool)
+            inner[ends] = False
+            edge = np.where((seq >= 0) & (seq < NEAR), seq, NEAR)
+            x, y = np.flatnonzero((seq[:-1] >= 0) & inner[1:]), np.flatnonzero((seq[1:] >= 0) & inner[:-1])
+            near += np.bincount(np.concatenate((seq[x] * width + edge[x + 1], seq[y + 1] * width + NEAR + 1 + edge[y])), minlength=len(near))
         at = np.flatnonzero(near)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(near[at])], names=["cell", "n"])
 
@@ -197,16 +193,52 @@ class Tokens:
         code, context = self.code[found], self.context[found]
         at = np.flatnonzero(found < 0)
         if len(at):
-            context[at] = seen = [VOCAB + ((w[-1] * 31 + w[0] * 7) & (BYTES_IDS - 1)) for w in map(words.__getitem__, at.tolist())]
-            code[at] = self.rare_class(np.array(seen))
+            context[at] = seen = np.array([VOCAB + ((w[-1] * 31 + w[0] * 7) & (BYTES_IDS - 1)) for w in map(words.__getitem__, at.tolist())])
+            code[at] = self.rare_class(seen)
         return code, context, found
 
-    def positions(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(code, token before, token before that) of every position, the end included, where CONTEXTS - 1 stands outside;
-        and the ids of the words."""
-        code, context, found = self.read(words)
-        line = np.concatenate(([CONTEXTS - 1, CONTEXTS - 1], context))
-        return np.append(code, VOCAB + END_CLASS), line[1:], line[:-1], found
+
+class Positions:
+    """The positions of some texts one after the other, each text's end included. `start` are the texts' first ones, `word`
+    is where words stand; before a text's first word stands CONTEXTS - 1."""
+
+    def __init__(self, read: Tokens, texts: list[list[bytes]]):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.words = [w for t in texts for w in t]
+        code, context, self.found = read.read(self.words)
+        end = np.cumsum(sizes) - 1
+        n = int(sizes.sum())
+        self.start, self.sizes, self.word = end + 1 - sizes, sizes, np.ones(n, bool)
+        self.word[end] = False
+        self.code = np.full(n, VOCAB + END_CLASS)
+        self.code[self.word] = code
+        line = np.full(n + 2, CONTEXTS - 1)
+        line[2:][self.word] = context
+        self.before, self.skip = line[1:-1], line[:-2].copy()
+        # before a text's first position stands the end of the text before, which is no context, and before that its last word
+        self.skip[self.start] = CONTEXTS - 1
+
+    def sums(self, of_words: np.ndarray) -> np.ndarray:
+        """The sum over each text of numbers that belong to words."""
+        every = np.zeros(len(self.code), of_words.dtype)
+        every[self.word] = of_words
+        return np.add.reduceat(every, self.start)
+
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for a in range(0, len(self.code), STEP):
+            yield self.code[a : a + STEP], self.before[a : a + STEP], self.skip[a : a + STEP]
+
+
+def _held(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Slices of the batches with the words of their texts: few enough that a slice has about `tokens` of them, or one text."""
+    for b in batches:
+        first, texts, size = 0, [], 0
+        for i in range(b.num_rows):
+            texts.append(words_of(b.column(column)[i].as_py()))
+            size += len(texts[-1]) + 1
+            if size >= tokens or i + 1 == b.num_rows:
+                yield b.slice(first, len(texts)), texts
+                first, texts, size = i + 1, [], 0
 
 
 def _parts(model, code, before, skip):
@@ -354,23 +386,15 @@ def train_round(texts: DataFrame, model: dict, vocab: dict[bytes, int], text: st
     the square root of the number of tasks in each, so that no group holds more blocks than that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Tokens(vocab, named, len(named))
+        read = Tokens(vocab, named, len(model["before"]) - CONTEXTS)
         mine = {k: v.copy() for k, v in model.items()}
         seen = {k: np.zeros_like(v) for k, v in model.items() if "bias" not in k}
-        held: list[tuple] = []
-        size = used = 0
-        for b in _slices(batches):
-            for t in b.column(0).to_pylist():
-                held.append(read.positions(words_of(t))[:3])
-                size += len(held[-1][0])
-                if size >= STEP:
-                    whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                    for a in range(0, size, STEP):
-                        steps(mine, seen, *(x[a : a + STEP] for x in whole))
-                    held, size, used = [], 0, used + size
-        if size:
-            steps(mine, seen, *(np.concatenate(x) for x in zip(*held, strict=True)))
-            used += size
+        used = 0
+        for _, texts in _held(batches, 0, 4 * STEP):
+            p = Positions(read, texts)
+            for part in p.slices():
+                steps(mine, seen, *part)
+            used += len(p.code)
         if used:
             w = _blocks(mine)
             from pyspark import TaskContext
@@ -425,7 +449,7 @@ def train(texts: DataFrame, text: str = "text") -> dict:
     model = new_model(np.array([n for _, n in top[:VOCAB]], float), place, mass, end, len(named), grown(PAIRS, total))
     for k in range(ROUNDS):
         part = texts.where(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(ROUNDS)) == k)
-        model = train_round(part, model, vocab, text, named)
+        model = train_round(part, model, vocab, text, [w for w, _ in top[VOCAB:]])
     return {"model": model, "vocab": vocab, "names": len(named), "known": dict(top), "end": end, "total": total, "types": types, "rare_log": np.log10(mass), "counts": counts}
 
 
@@ -448,20 +472,18 @@ def score(docs: DataFrame, fitted: dict, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, scorer, tenth = Tokens(vocab, named, names), Scorer(model), np.log(10)
         log_end = float(np.log10(end + ALPHA))
-        for b in _slices(batches):
-            rows = []
-            for t in b.column(b.num_columns - 1).to_pylist():
-                words = words_of(t)
-                code, before, skip, found = read.positions(words)
-                old, rare = found >= 0, code[:-1] >= VOCAB
-                mine = log_known[found]  # without meaning where the word is not known
-                log = sum(float(scorer.log_probs(code[a : a + STEP], before[a : a + STEP], skip[a : a + STEP]).sum()) for a in range(0, len(code), STEP))
-                inner = float(mine[rare & old].sum()) - float(rare_log[code[:-1][rare] - VOCAB - CLASSES].sum())
-                rows.append((len(code), int(old.sum()) + (end > 0), float(mine[old].sum()) + log_end, inner, log / tenth, [words[i] for i in np.flatnonzero(~old).tolist()]))
-            if rows:
-                c = list(zip(*rows, strict=True))
-                arrays = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.float64()) for x in c[2:5]), pa.array(c[5], pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=columns)
+        for b, texts in _held(batches, len(columns) - len(new), 8 * STEP):
+            p = Positions(read, texts)
+            old, rare = p.found >= 0, p.code[p.word] >= VOCAB
+            mine = np.where(old, log_known[p.found], 0.0)
+            log = np.add.reduceat(np.concatenate([scorer.log_probs(*part) for part in p.slices()]), p.start) / tenth
+            groups = np.where(rare, p.code[p.word] - VOCAB - CLASSES, 0)
+            inner = p.sums(np.where(rare, mine - rare_log[groups], 0.0))
+            strange = np.flatnonzero(~old)
+            offsets = np.concatenate(([0], np.cumsum(p.sums((~old).astype(np.int64)))))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([p.words[i] for i in strange.tolist()], pa.binary()).cast(pa.string()))
+            arrays = [pa.array(p.sizes), pa.array(p.sums(old.astype(np.int64)) + (end > 0)), pa.array(p.sums(mine) + log_end), pa.array(inner), pa.array(log), lists]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=columns)
 
     out = materialize(given.mapInArrow(run, kinds + ", ".join(f"`{k}` {v}" for k, v in new.items())), "lm-scored")
     asked = out.select(own["row"], F.explode(own["strange"]).alias(own["token"]))
