@@ -7,15 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a table may have to be broadcast; beyond that the join is left to the planner.
-SMALL_ROWS = 10_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast if the table is small, which is counted and not assumed."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
 def fold_layers(tracks: DataFrame, keys: list[str], is_layer: Column, rank: Column, order: Column, fields: list[str]) -> DataFrame:
     """Enhancement layers folded into one base track of each key: the base with the largest rank, the last of equals.
     A base's own fields win, the layer fills gaps (its first known value by order); other bases stay as they are, and
@@ -40,33 +31,35 @@ def first_usable(left: DataFrame, right: DataFrame, on: list[str], usable: Colum
     return left.join(best, on, "left").select("*", *(F.col("__r")[v].alias(v) for v in values)).drop("__r")
 
 
-def coalesced(key: Column, own: Column, table: dict) -> Column:
-    """A group's own definition of a key (a map), else the predefined one; null if neither knows it."""
-    fixed = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
-    return F.coalesce(F.try_element_at(own, key), F.try_element_at(fixed, key))
-
-
 def smallest_admitting(value_conditions: list[tuple[Column, int]], result: list[int]) -> Column:
     """The first result whose condition holds: limits are few and fixed, so the theta-join is a constant expression."""
     return reduce(lambda acc, x: F.when(x[0], x[1]).otherwise(acc), reversed(list(zip((c for c, _ in value_conditions), result, strict=True))), F.lit(None).cast("int"))
 
 
 def contains_point(ranges: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, at: str, bin_size: int, order: str) -> DataFrame:
-    """Each point with the first range of its key that holds it. Ranges are filed under every bin they touch, points
-    under theirs, so the join is on equality."""
-    low, high = F.floor(F.col(start) / bin_size), F.floor((F.col(end) - 1) / bin_size)
-    filed = ranges.where(F.col(end) > F.col(start)).withColumn("__bin", F.explode(F.sequence(low, high)))
-    asked = points.withColumn("__bin", F.floor(F.col(at) / bin_size))
-    hit = asked.join(filed, [*keys, "__bin"], "left").where(F.col(start).isNull() | ((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))))
-    return hit.groupBy(*keys, at).agg(F.min(order).alias(order))
+    """Each point (keys, `at`) once, with the first `order` among the ranges of its key that hold it, or null. A range is
+    filed under the bins that it touches, at the level whose bins are at least as long as it is: at most two, however long
+    it is. Points look into every level that has ranges, so the join is on equality."""
+    length = F.col(end) - F.col(start)
+    level = F.ceil(F.log2(F.greatest(length / bin_size, F.lit(1.0)))).cast("int")
+    bin_of = lambda x, n: F.floor(x / (F.lit(bin_size) * F.pow(F.lit(2.0), n))).cast("long")
+    sized = ranges.where(length > 0).withColumn("__level", level)
+    levels = sorted(r[0] for r in sized.select("__level").distinct().collect())  # no more than the bits of a number
+    filed = sized.withColumn("__bin", F.explode(F.sequence(bin_of(F.col(start), F.col("__level")), bin_of(F.col(end) - 1, F.col("__level")))))
+    filed = filed.select(*(F.col(k).alias(f"__k_{k}") for k in keys), "__level", "__bin", F.col(start).alias("__start"), F.col(end).alias("__end"), F.col(order).alias("__order"))
+    asked = points.select(*keys, at).distinct().withColumn("__l", F.explode(F.array(*map(F.lit, levels or [0])).cast("array<int>")))
+    inside = (F.col(at) >= F.col("__start")) & (F.col(at) < F.col("__end"))
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"__k_{k}") for k in keys] + [F.col("__l") == F.col("__level"), bin_of(F.col(at), F.col("__l")) == F.col("__bin"), inside])
+    return asked.join(filed, same, "left").groupBy(*keys, at).agg(F.min("__order").alias(order))
 
 
 def complete_and_first(items: DataFrame, group: list[str], name: str, sequence: Column, present: DataFrame, on: str) -> DataFrame:
-    """Names whose every item is present, and of those with equal item sequences the first by name."""
-    missing = items.join(present.select(on).distinct(), on, "left_anti").select(*group, name).distinct()
-    whole = items.join(missing, [*group, name], "left_anti")
-    sequences = whole.groupBy(*group, name).agg(F.array_sort(F.collect_list(sequence)).alias("items"))
-    return sequences.groupBy(*group, "items").agg(F.min(name).alias(name))
+    """Names whose every item is present, and of those with equal item sequences the first by name. Items meet the present
+    ones in one join and are grouped once."""
+    known = present.select(F.col(on).alias("__on")).distinct()
+    told = items.withColumn("__item", sequence).join(known, F.col(on) == F.col("__on"), "left")
+    sequences = told.groupBy(*group, name).agg(F.every(F.col("__on").isNotNull()).alias("__whole"), F.array_sort(F.collect_list("__item")).alias("items"))
+    return sequences.where("__whole").groupBy(*group, "items").agg(F.min(name).alias(name))
 
 
 def longest_prefix(df: DataFrame, value: Column, prefixes: list[str]) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from nitscope.operators.windows import with_prefix_sum
 
 
 def positions(n: Column, samples: int, pinned: Column | None = None) -> Column:
@@ -21,22 +22,21 @@ def positions(n: Column, samples: int, pinned: Column | None = None) -> Column:
     return F.when(n <= samples, every).otherwise(F.array_sort(F.array_distinct(some)))
 
 
-def select_rows(df: DataFrame, keys: list[str], order: list[str], samples: int, pinned: str | None = None) -> DataFrame:
+def select_rows(df: DataFrame, keys: list[str], order: list[str], samples: int, pinned: str | None = None, chunk: Column | None = None) -> DataFrame:
     """The sampled rows of each key with their position. Counts come from one small aggregation, so that positions are
-    a semi-join and the rows' payload is not held by a window."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = df.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+    a join; with `chunk`, rows are numbered in their chunks."""
+    numbered = with_prefix_sum(df.withColumn("__one", F.lit(1)), keys, order, "__one", chunk, "position").drop("__one")
     extra = [F.max(pinned).alias("__pin")] if pinned else []
     sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"), *extra)
     wanted = sizes.select(*keys, F.explode(positions(F.col("__n"), samples, F.col("__pin") if pinned else None)).alias("position"))
     return numbered.join(wanted, [*keys, "position"])
 
 
-def bounded_head(df: DataFrame, keys: list[str], order: list[str], size: str, span: int, rows: int) -> DataFrame:
+def bounded_head(df: DataFrame, keys: list[str], order: list[str], size: str, span: int, rows: int, chunk: Column | None = None) -> DataFrame:
     """Rows of each key until `span` units of size or `rows` rows are reached; the row that reaches it is the last."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    past = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return df.withColumns({"__past": past, "__n": F.count("*").over(w)}).where((F.col("__past") < span) & (F.col("__n") < rows)).drop("__past", "__n")
+    past = with_prefix_sum(df.withColumn("__one", F.lit(1)), keys, order, size, chunk, "__past")
+    past = with_prefix_sum(past, keys, order, "__one", chunk, "__n")
+    return past.where((F.col("__past") < span) & (F.col("__n") < rows)).drop("__past", "__n", "__one")
 
 
 def first_widest(df: DataFrame, keys: list[str], order: str, width: str, enough: int, *values: str) -> DataFrame:

@@ -100,7 +100,7 @@ def weighted_fold(spark, sf_dir):
 def access_units(spark, sf_dir):
     """WIN-03: pictures (click, purchase) and leaders (signup) grouped to access units."""
     picture, leader = F.col("event_type").isin("click", "purchase"), F.col("event_type") == "signup"
-    return windows.access_units(frames(spark, sf_dir), ["user_id"], ORDER, picture, leader).select("event_id", "unit")
+    return windows.access_units(frames(spark, sf_dir), ["user_id"], ORDER, picture, leader, chunk=DAY("ts")).select("event_id", "unit")
 
 
 @kernel("""
@@ -150,7 +150,7 @@ def average_rate(spark, sf_dir):
 def as_of_entry(spark, sf_dir):
     """SRC-06: the last table entry at or before each sample."""
     entry = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    return windows.as_of(frames(spark, sf_dir), ["user_id"], ORDER, entry, "chunk_entry").select("event_id", "chunk_entry")
+    return windows.as_of(frames(spark, sf_dir), ["user_id"], ORDER, entry, "chunk_entry", chunk=DAY("ts")).select("event_id", "chunk_entry")
 
 
 # ---- aggregates
@@ -298,7 +298,7 @@ def extents(spark, sf_dir):
     SELECT o_custkey, CASE WHEN bool_and(p IS NULL OR p = a) THEN min(a) END AS a, CASE WHEN bool_and(p IS NULL OR p = a) THEN max(b) END AS b FROM m GROUP BY o_custkey""")
 def coalesce_extents(spark, sf_dir):
     """AGG-16: one range if all extents are adjacent, else nothing."""
-    return windows.coalesce_all(extents(spark, sf_dir), ["o_custkey"], ["a", "b", "o_orderkey"], "a", "b")
+    return windows.coalesce_all(extents(spark, sf_dir), ["o_custkey"], ["a", "b", "o_orderkey"], "a", "b", chunk=F.floor(F.col("a") / 64))
 
 
 @kernel(f"""
@@ -307,7 +307,7 @@ def coalesce_extents(spark, sf_dir):
     SELECT o_custkey, min(a) AS a, max(b) AS b FROM i GROUP BY o_custkey, g""")
 def merge_ranges(spark, sf_dir):
     """AGG-17: union of overlapping and adjacent ranges."""
-    return windows.merge_intervals(extents(spark, sf_dir), ["o_custkey"], "a", "b")
+    return windows.merge_intervals(extents(spark, sf_dir), ["o_custkey"], "a", "b", chunk=F.floor(F.col("a") / 64))
 
 
 # ---- selection
@@ -319,7 +319,7 @@ def merge_ranges(spark, sf_dir):
     SELECT event_id, i AS position FROM n WHERE c <= 16 OR i < 5 OR i IN (SELECT (k) * (c - 1) // 12 FROM r WHERE k >= 1) OR i IN ((c - 1) * 1 // 12)""")
 def sample_positions(spark, sf_dir):
     """TOPK-01, TOPK-02: a head of a third and a whole-number spread over the rest, of every track."""
-    return selection.select_rows(frames(spark, sf_dir), ["user_id"], ORDER, 16).select("event_id", "position")
+    return selection.select_rows(frames(spark, sf_dir), ["user_id"], ORDER, 16, chunk=DAY("ts")).select("event_id", "position")
 
 
 @kernel("""
@@ -364,7 +364,7 @@ def nearest_standard(spark, sf_dir):
 def bounded_head(spark, sf_dir):
     """TOPK-06: a head bounded by bytes and by rows."""
     sized = frames(spark, sf_dir).withColumn("size", F.floor("value").cast("long"))
-    return selection.bounded_head(sized, ["user_id"], ORDER, "size", 500, 8).select("event_id")
+    return selection.bounded_head(sized, ["user_id"], ORDER, "size", 500, 8, chunk=DAY("ts")).select("event_id")
 
 
 # ---- joins
@@ -445,11 +445,10 @@ def dv_level(width, height, fps):
     WITH e AS ({EXTENTS}), q AS (SELECT DISTINCT o_custkey, a + 3 AS x FROM e)
     SELECT q.o_custkey, q.x, min(e.o_orderkey) AS o_orderkey FROM q LEFT JOIN e ON q.o_custkey = e.o_custkey AND q.x >= e.a AND q.x < e.b GROUP BY q.o_custkey, q.x""")
 def containing_unit(spark, sf_dir):
-    """JOIN-07, JOIN-08: the first range that holds a point, by an equality join on bins."""
+    """JOIN-07: the first range that holds a point, by an equality join on bins."""
     e = extents(spark, sf_dir)
     points = e.select("o_custkey", (F.col("a") + 3).alias("x")).distinct()
-    found = lookups.contains_point(e, points, ["o_custkey"], "a", "b", "x", 32, "o_orderkey")
-    return points.join(found, ["o_custkey", "x"], "left")
+    return lookups.contains_point(e, points, ["o_custkey"], "a", "b", "x", 32, "o_orderkey")
 
 
 @kernel("""
@@ -660,13 +659,12 @@ def zeroed_light(spark, sf_dir):
 
 
 @kernel("""
-    SELECT doc_id, CASE WHEN strlen(text) >= 4 THEN ascii(substr(text, 1, 1)) * 256 + ascii(substr(text, 2, 1)) ELSE 0 END AS u16 FROM documents WHERE regexp_full_match(substr(text, 1, 4), '[ -~]*')""")
+    SELECT doc_id, CASE WHEN strlen(text) >= 4 THEN CAST('0x' || substr(hex(encode(text)), 1, 4) AS INTEGER) ELSE 0 END AS u16 FROM documents""")
 def fixed_width_reads(spark, sf_dir):
-    """FN-26: big-endian fields of the text's bytes; out of range reads as 0. Texts that begin with ASCII."""
-    docs = table(spark, sf_dir, "documents").where(F.substr("text", F.lit(1), F.lit(4)).rlike(r"\A[ -~]*\z"))
+    """FN-26: big-endian fields of the text's bytes; out of range reads as 0, and so does a null text."""
     b = F.encode("text", "utf-8")
     field = F.conv(F.hex(F.substring(b, 1, 2)), 16, 10).cast("int")
-    return docs.select("doc_id", F.when(F.length(b) >= 4, field).otherwise(0).alias("u16"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length(b) >= 4, field).otherwise(0).alias("u16"))
 
 
 @kernel("SELECT p_partkey, CAST(((p_partkey % 256) >> 1) & 63 AS INTEGER) AS hevc_type, CAST((p_partkey % 256) & 31 AS INTEGER) AS avc_type, CAST(p_partkey * 7919 & 1073741823 AS BIGINT) AS ad_length, CAST((p_partkey * 7919 >> 30) & 3 AS INTEGER) AS ad_type FROM part")

@@ -1,4 +1,4 @@
-"""Session helpers: table access, lineage cuts in the shared checkpoint folder, size-checked broadcasts."""
+"""Session helpers: table access, lineage cuts in the shared checkpoint folder, unused names."""
 
 from __future__ import annotations
 
@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`); a temporary one only where that is unset."""
+    """The cluster's shared folder (`spark.checkpoint.dir`). Where that is unset, a local session gets a temporary one; on
+    a cluster, whose machines would each write to their own disk, that is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="nitscope-")
@@ -67,13 +70,6 @@ def scan_tasks(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(1, -(-rows // per_task))
 
 
-def small_enough(df: DataFrame, limit_rows: int) -> bool:
-    """True if `df` has at most `limit_rows` rows; reads no more than that."""
-    return df.limit(limit_rows + 1).count() <= limit_rows
-
-
-
-
 def unused(name: str, taken) -> str:
     """`name`, made longer until no column has it (names differ in more than case)."""
     low = {c.lower() for c in taken}

@@ -104,11 +104,18 @@ def collect_paths(paths: list[str], recursive: bool = False) -> list[str]:
             out.append(p)
             continue
         walk = os.walk(p) if recursive else [(p, [], [e.name for e in os.scandir(p) if e.is_file()])]
-        found = [os.path.join(d, n) for d, _, names in walk for n in names if dispatch.extension(n) in dispatch.VIDEO or dispatch.extension(n) in SIDECARS and _is_sidecar(os.path.join(d, n))]
-        out += sorted(found)
+        out += sorted(f for d, _, names in walk for n in names if _is_collected(f := os.path.join(d, n)))
     return out
 
 
-def _is_sidecar(path: str) -> bool:
+def collected(path: str, head: bytes) -> bool:
+    """True of the files that a folder gives: videos by extension, sidecars by extension and content."""
+    ext = dispatch.extension(path)
+    return ext in dispatch.VIDEO or ext in SIDECARS and extract.sidecar.kind(path, head) is not None
+
+
+def _is_collected(path: str) -> bool:
+    if dispatch.extension(path) not in SIDECARS:
+        return collected(path, b"")
     with open(path, "rb") as f:
-        return extract.sidecar.kind(path, f.read(extract.sidecar.HEAD)) is not None
+        return collected(path, f.read(extract.sidecar.HEAD))

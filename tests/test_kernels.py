@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 from nitscope.plans import bytes as byte_queries
-from nitscope.plans import kernels
+from nitscope.plans import files, kernels
 
-ALL = kernels.QUERIES | byte_queries.QUERIES
-TWINS = kernels.ORACLE_SQL | byte_queries.ORACLE_SQL
+ALL = kernels.QUERIES | byte_queries.QUERIES | files.QUERIES
+TWINS = kernels.ORACLE_SQL | byte_queries.ORACLE_SQL | files.ORACLE_SQL
 SF = "/root/testdata/sf0.01"
 
 
