@@ -155,7 +155,6 @@ def dolby_vision(full: bool):
 
 def track_reports(tracks: DataFrame, found: DataFrame, full: bool = False) -> DataFrame:
     """One row for each track with all its sections."""
-    found = materialize(found, "findings")  # the parsers run once; what they find is small beside the files
     t = tracks.where("error IS NULL").join(sei_facts(found), KEYS, "left").join(rpu_facts(found, full), KEYS, "left")
     # A few columns for each track are written between the steps: each value is computed once, where the optimizer would
     # otherwise repeat it in every expression that names it.
@@ -210,9 +209,18 @@ def reports(per_track: DataFrame) -> DataFrame:
 
 
 def probe(spark: SparkSession, paths: list[str], full: bool = False, samples: int = 16, rpu: bool = True, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(reports, errors) of the files below the paths. Without `rpu`, Dolby Vision is what the containers declare."""
-    files = reader.files(spark, paths, recursive)
-    return probe_bytes(files, full, samples, rpu)
+    """(reports, errors) of the files as given and those in the folders given. Files may be of any size; one that can't be
+    read is an error row. Without `rpu`, Dolby Vision is what the containers declare."""
+    return probe_bytes(reader.inputs(spark, paths, recursive), full, samples, rpu)
+
+
+def probe_stream(spark: SparkSession, stream, name: str = "-", samples: int = 16, rpu: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The same for a binary stream that can't be sought, of which a bounded head is read: if there is more, the facts that
+    a head can't back are left out."""
+    data, cut = reader.head(stream)
+    if not data:
+        raise ValueError("no data in the stream")
+    return probe_bytes(spark.createDataFrame([(name, data, cut)], "file string, content binary, truncated boolean"), False, samples, rpu)
 
 
 def suppress_cut(tracks: DataFrame, cut: DataFrame) -> DataFrame:
@@ -228,7 +236,8 @@ def suppress_cut(tracks: DataFrame, cut: DataFrame) -> DataFrame:
 
 def probe_bytes(files: DataFrame, full: bool = False, samples: int = 16, rpu: bool = True) -> tuple[DataFrame, DataFrame]:
     """The same for (file, content) rows from anywhere, such as the heads of streams; these say `truncated` beside."""
-    tracks, found = reader.tracks(files, full), reader.findings(files, full, samples)
+    scanned = materialize(reader.scan(files, full, samples), "scanned")  # every file is read once; what it says is small
+    tracks, found = reader.parted(scanned)
     if "truncated" in files.columns:
         tracks = suppress_cut(tracks, files.select("file", "truncated"))
     errors = tracks.where("error IS NOT NULL").select("file", "error")
@@ -258,7 +267,7 @@ def sections(report: DataFrame, *wanted: str) -> DataFrame:
 
 def json_document(report: DataFrame, collected: int) -> str:
     """One JSON text for people's tools: the object alone if exactly one path was collected and could be read, else an
-    array in the order of paths. Rows come to the driver one partition at a time."""
+    array in the order of paths. The text is made on the driver, which must hold it; for many files write `to_json`."""
     rows = [r.value for r in to_json(report.orderBy("file")).toLocalIterator()]
     return rows[0] if collected == 1 and len(rows) == 1 else f"[{','.join(rows)}]"
 

@@ -15,6 +15,13 @@ def extension(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
+def part(data, start: int, end: int | None = None):
+    """A range of an input without a copy."""
+    if not start and end is None:
+        return data
+    return data.part(start, end) if hasattr(data, "part") else memoryview(data)[start:end]
+
+
 def sniff(data):
     """The parser whose signature the data begins with, in a fixed order, or None."""
     head = bytes(data[:16])
@@ -38,7 +45,7 @@ def demux(path: str, data, full: bool = False) -> dict:
     too, the first error stands."""
     if extension(path) == "iso" or disc.is_image(data):
         feature = disc.main_feature(data)
-        return ts.read(memoryview(data)[feature["start"] : feature["end"]], full) | {"bd_iso": feature["bd_iso"], "shift": feature["start"]}
+        return ts.read(part(data, feature["start"], feature["end"]), full) | {"bd_iso": feature["bd_iso"], "shift": feature["start"]}
     first, error = PARSERS.get(extension(path)), None
     for parse in (first, sniff(data)):
         if parse is None or parse is first and error:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from nitscope.functions import bits, rpu, sei
 from nitscope.sources import dispatch, sidecar
-from nitscope.sources.model import Unreadable
+from nitscope.sources.model import Unreadable, bits_per_second
 
 COLOR = "struct<primaries:string,transfer:string,matrix:string,range:string>"
 DISPLAY = "struct<max_luminance:double,min_luminance:double,primaries:string,primaries_level:int>"
@@ -66,10 +66,6 @@ def look(unit: bytes, codec: str, nal: int) -> tuple[dict, list[dict]]:
     return found, rpus
 
 
-def _payload(data, t: dict, shift: int):
-    return t["stream"] if t["stream"] is not None else memoryview(data)[shift:] if shift else data
-
-
 def xml_facts(kind: str, data) -> dict:
     """Rate and display that a mastering document states."""
     return {k: v for k, v in sidecar.dv_xml(bytes(data)).items() if k in ("fps", "mastering")} if kind == "xml" else {}
@@ -86,50 +82,98 @@ def xml_rpus(data: bytes) -> Iterator[dict]:
         yield {"ord": i, "weight": n, "sei": None, "rpu": row}
 
 
-def track_rows(path: str, data, full: bool) -> Iterator[dict]:
-    """One row for each track, or one row with the error."""
+class _Said:
+    """Rows of one track's units, looked at in their order."""
+
+    def __init__(self, path: str, index: int, t: dict):
+        self.path, self.index, self.t, self.t35 = path, index, t, 0
+        self.found = False
+
+    def unit(self, k: int, unit: bytes) -> Iterator[dict]:
+        found, rpus = look(unit, self.t["codec"], self.t["nal"])
+        if any(v is not None for v in found.values()):
+            yield {"file": self.path, "track_idx": self.index, "ord": k * 16, "weight": 1, "sei": found, "rpu": None}
+        for j, r in enumerate(rpus):
+            yield {"file": self.path, "track_idx": self.index, "ord": k * 16 + j, "weight": 1, "sei": None, "rpu": r}
+
+    def payload(self, data: bytes) -> Iterator[dict]:
+        """The first HDR10+ payload that stands beside the frames."""
+        if not self.found and (info := sei.hdr10plus(data)):
+            self.found = True
+            yield {"file": self.path, "track_idx": self.index, "ord": (1 << 40) + self.t35, "weight": 1, "sei": sei.EMPTY | {"hdr10plus": info}, "rpu": None}
+        self.t35 += 1
+
+
+def _walked(path: str, data, m: dict) -> Iterator[dict]:
+    """Findings of all units of an input that gives them out one by one; counts and bytes go to the tracks."""
+    said = [_Said(path, i, t) for i, t in enumerate(m["tracks"])]
+    count, size = [0] * len(said), [0] * len(said)
+    for i, *unit in m["walk"]():
+        if len(unit) == 1:
+            part = unit[0]
+        else:
+            part = bytes(data[unit[1] : unit[1] + unit[2]])
+            if unit[0] == "t35":
+                yield from said[i].payload(part)
+                continue
+        yield from said[i].unit(count[i], part)
+        count[i], size[i] = count[i] + 1, size[i] + len(part)
+    for t, n, total in zip(m["tracks"], count, size, strict=True):
+        t["count"] = n
+        t["bitrate"] = t["bitrate"] or bits_per_second(total, m["duration_secs"], "video_stream")
+
+
+def _sidecar_findings(path: str, kind: str, data) -> Iterator[dict]:
+    if kind == "rpu":
+        for i, (unit, n) in enumerate(sidecar.rpu_runs(bytes(data))):
+            if r := rpu_row(rpu.from_hevc(unit)):
+                yield {"file": path, "track_idx": 0, "ord": i, "weight": n, "sei": None, "rpu": r}
+    elif kind == "xml":
+        for row in xml_rpus(bytes(data)):
+            yield {"file": path, "track_idx": 0} | row
+    elif kind == "json":
+        yield {"file": path, "track_idx": 0, "ord": 0, "weight": 1, "sei": sei.EMPTY | {"hdr10plus": sidecar.hdr10plus_json(bytes(data[: sidecar.HEAD]))}, "rpu": None}
+
+
+BROKEN = (Unreadable, ValueError, IndexError, KeyError, OSError)
+
+
+def scan(path: str, data, full: bool, samples: int, look_inside: bool = True) -> Iterator[tuple[str, dict]]:
+    """("finding", row) for each access unit that says something and each RPU, with `ord` as the order and `weight` the
+    frames, then ("track", row) for each track, or one with the error. The input is read once. Without `look_inside` units
+    are not looked at."""
     blank = {"file": path, "size_bytes": len(data), "error": None, "sampled": not full}
     try:
         if kind := sidecar.kind(path, bytes(data[: sidecar.HEAD])):
-            yield blank | {"container": {"rpu": "Dolby Vision RPU", "xml": "Dolby Vision XML", "json": "HDR10+ JSON"}[kind], "track_idx": 0, "codec": "", "width": 0, "height": 0, "dual_track": False, "sidecar": kind, "sampled": False} | xml_facts(kind, data)
+            row = blank | {"container": {"rpu": "Dolby Vision RPU", "xml": "Dolby Vision XML", "json": "HDR10+ JSON"}[kind], "track_idx": 0, "codec": "", "width": 0, "height": 0, "dual_track": False, "sidecar": kind, "sampled": False} | xml_facts(kind, data)
+            try:
+                yield from (("finding", r) for r in (_sidecar_findings(path, kind, data) if look_inside else ()))
+            except BROKEN:
+                pass
+            yield "track", row
             return
         m = dispatch.demux(path, data, full)
-    except (Unreadable, ValueError, IndexError, KeyError) as e:
-        yield blank | {"error": str(e) or type(e).__name__}
+    except BROKEN as e:
+        yield "track", blank | {"error": str(e) or type(e).__name__}
         return
+    if "walk" in m and look_inside:
+        yield from (("finding", r) for r in _walked(path, data, m))
+    for i, t in enumerate(m["tracks"] if look_inside and "walk" not in m else ()):
+        raw, said = t["stream"] if t["stream"] is not None else dispatch.part(data, m.get("shift", 0)), _Said(path, i, t)
+        for k in positions(len(t["units"]), samples, full, t["pinned"]):
+            o, n = t["units"][k]
+            yield from (("finding", r) for r in said.unit(k, bytes(raw[o : o + n])))
+        for o, n in t["t35"]:
+            yield from (("finding", r) for r in said.payload(bytes(raw[o : o + n])))
     for i, t in enumerate(m["tracks"]):
         row = {k: t[k] for k in ("track_number", "program", "default", "codec", "profile", "width", "height", "fps", "bit_depth", "chroma", "stereo", "color", "dv_config", "dual_track", "mastering", "content_light", "vivid_map", "bitrate")}
-        yield blank | row | {"container": m["container"], "duration_secs": m["duration_secs"], "bd_iso": m.get("bd_iso"), "track_idx": i, "units": len(t["units"])}
+        yield "track", blank | row | {"container": m["container"], "duration_secs": m["duration_secs"], "bd_iso": m.get("bd_iso"), "track_idx": i, "units": t.get("count", len(t["units"]))}
+
+
+def track_rows(path: str, data, full: bool) -> Iterator[dict]:
+    """One row for each track, or one row with the error."""
+    return (r for kind, r in scan(path, data, full, 0, look_inside=full) if kind == "track")
 
 
 def finding_rows(path: str, data, full: bool, samples: int) -> Iterator[dict]:
-    """A row for each access unit that says something, and one for each RPU; `ord` is the order, `weight` the frames."""
-    try:
-        kind = sidecar.kind(path, bytes(data[: sidecar.HEAD]))
-        if kind == "rpu":
-            for i, (unit, n) in enumerate(sidecar.rpu_runs(bytes(data))):
-                if r := rpu_row(rpu.from_hevc(unit)):
-                    yield {"file": path, "track_idx": 0, "ord": i, "weight": n, "sei": None, "rpu": r}
-        elif kind == "xml":
-            for row in xml_rpus(bytes(data)):
-                yield {"file": path, "track_idx": 0} | row
-        elif kind == "json":
-            yield {"file": path, "track_idx": 0, "ord": 0, "weight": 1, "sei": sei.EMPTY | {"hdr10plus": sidecar.hdr10plus_json(bytes(data[: sidecar.HEAD]))}, "rpu": None}
-        if kind:
-            return
-        m = dispatch.demux(path, data, full)
-    except (Unreadable, ValueError, IndexError, KeyError):
-        return
-    for i, t in enumerate(m["tracks"]):
-        raw = _payload(data, t, m.get("shift", 0))
-        for k in positions(len(t["units"]), samples, full, t["pinned"]):
-            o, n = t["units"][k]
-            found, rpus = look(bytes(raw[o : o + n]), t["codec"], t["nal"])
-            if any(v is not None for v in found.values()):
-                yield {"file": path, "track_idx": i, "ord": k * 16, "weight": 1, "sei": found, "rpu": None}
-            for j, r in enumerate(rpus):
-                yield {"file": path, "track_idx": i, "ord": k * 16 + j, "weight": 1, "sei": None, "rpu": r}
-        for k, (o, n) in enumerate(t["t35"]):
-            if info := sei.hdr10plus(bytes(raw[o : o + n])):
-                yield {"file": path, "track_idx": i, "ord": (1 << 40) + k, "weight": 1, "sei": sei.EMPTY | {"hdr10plus": info}, "rpu": None}
-                break
+    return (r for kind, r in scan(path, data, full, samples) if kind == "finding")

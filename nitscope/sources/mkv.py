@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 from nitscope.functions import headers, sei
 from nitscope.functions.bits import big
@@ -213,6 +214,8 @@ def read(data, full: bool = False) -> dict:
     start, end = top
     scale, ticks, tracks, owners, stats, tail, cut = 1_000_000, None, [], {}, [], None, False
     size, first = {}, {}
+    clusters: list[tuple[int, int]] = []
+    counted: dict[int, list[int]] = {}
     at = start
     while at < end and not cut:
         nxt = next(elements(data, at, end), None)
@@ -238,11 +241,17 @@ def read(data, full: bool = False) -> dict:
         elif kind == CLUSTER:
             if not known:
                 z = _clusters_end(data, a, end)
+            clusters.append((a, z))
             for what, number, offset, n in blocks(data, a, z):
                 if (t := owners.get(number)) is None:
                     continue
+                if full:  # a whole film's blocks are counted here and given out by the walk
+                    seen = counted.setdefault(id(t), [0, 0])
+                    seen[0] += what == "block"
+                    seen[1] += n * (what == "block")
+                    continue
                 t["t35" if what == "t35" else "units"].append((offset, n))
-                if what == "block" and not full:
+                if what == "block":
                     key = id(t)
                     first.setdefault(key, offset)
                     size[key] = offset + n - first[key]
@@ -259,7 +268,10 @@ def read(data, full: bool = False) -> dict:
         stats = tags(data, nxt[1], nxt[2]) if nxt and nxt[0] == TAGS else []
     secs = ticks * scale / 1e9 if ticks and ticks > 0 else None
     for t in tracks:
-        n, uid, step = len(t["units"]), t.pop("uid"), t.pop("frame_ns")
+        n, bytes_in = counted.get(id(t), [0, 0]) if full else (len(t["units"]), sum(s for _, s in t["units"]))
+        uid, step = t.pop("uid"), t.pop("frame_ns")
+        if full:
+            t["count"] = n
         t["fps"] = 1e9 / step if step else n / secs if secs and n and not cut else None
         said = next((s for s in stats if uid is not None and s["uid"] == uid and (s["bps"] is not None or s["bytes"] is not None)), None)
         if said and said["bps"] is not None:
@@ -267,14 +279,32 @@ def read(data, full: bool = False) -> dict:
         elif said:
             t["bitrate"] = bits_per_second(said["bytes"], secs, "video_stream")
         elif not cut:
-            t["bitrate"] = bits_per_second(sum(s for _, s in t["units"]), secs, "video_stream")
+            t["bitrate"] = bits_per_second(bytes_in, secs, "video_stream")
         elif len(tracks) == 1:
             t["bitrate"] = bits_per_second(len(data), secs, "overall")
+
+    def walk() -> Iterator[tuple[int, str, int, int]]:
+        """(track, "block" or "t35", offset, size), cluster by cluster."""
+        place = {id(t): i for i, t in enumerate(tracks)}
+        for a, z in clusters:
+            for what, number, offset, n in blocks(data, a, z):
+                if (t := owners.get(number)) is not None and id(t) in place:
+                    yield place[id(t)], what, offset, n
+
+    if full:
+        for t in tracks:  # headers in the first frames say what the container does not
+            i = place_of(tracks, t)
+            t["units"] = [(o, n) for j, what, o, n in islice(walk(), HEAD_BLOCKS) if j == i and what == "block"][:32] if t["codec"] in ("VP9", "ProRes") else []
+    for t in tracks:
         if t["codec"] == "VP9":
             fill_from_frames(t, data, headers.vp9_frame)
         elif t["codec"] == "ProRes":
             fill_from_frames(t, data, headers.prores_frame)
-    return media("Matroska", tracks, secs)
+    return media("Matroska", tracks, secs) | ({"walk": walk} if full else {})
+
+
+def place_of(tracks: list[dict], t: dict) -> int:
+    return next(i for i, x in enumerate(tracks) if x is t)
 
 
 def looks(data) -> bool:

@@ -1,11 +1,13 @@
-"""Media files as DataFrames. `files` lists and reads through Spark's own file source, so any store that Spark reads will
-do; the `hdr_media` data source opens files by path and maps them, for films too large for one value of a row."""
+"""Media files as DataFrames. `inputs` lists files through Spark's own file source, so any store that Spark reads will do.
+Files up to `WHOLE` bytes come as values of rows; larger ones are opened by the task that reads them, in ranges: by path
+where the path is local, else through Arrow's file systems. The `hdr_media` data source maps local files by path."""
 
 from __future__ import annotations
 
 import mmap
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,43 +21,138 @@ from nitscope.sources import dispatch, extract
 SIDECARS = ("rpu", "bin", "xml", "json")
 #: Rows of one Arrow batch: findings are small, and a film has hundreds of thousands.
 BATCH = 1024
+#: Bytes of the largest file that is read into a row.
+WHOLE = 64 << 20
+#: Bytes that are read at a time from a file that can't be mapped.
+RANGE = 1 << 20
+#: Bytes of a stream that its kind is told by, and those that are read of a transport stream and of any other.
+SNIFF, TS_HEAD, OTHER_HEAD = 64 << 10, 24 << 20, 16 << 20
 
 
-def files(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
-    """(file, content) of video and sidecar files, by extension, below the paths."""
+class Ranged:
+    """A file of any store as something that can be sliced: one range is held at a time."""
+
+    def __init__(self, file, start: int = 0, end: int | None = None):
+        self.file, self.start, self.end = file, start, file.size() if end is None else end
+        self.at, self.held = 0, b""
+
+    def __len__(self) -> int:
+        return self.end - self.start
+
+    def part(self, start: int, end: int | None = None) -> Ranged:
+        return Ranged(self.file, self.start + start, self.end if end is None else min(self.start + end, self.end))
+
+    def _read(self, a: int, n: int) -> bytes:
+        if not self.at <= a <= a + n <= self.at + len(self.held):
+            self.file.seek(self.start + a)
+            self.at, self.held = a, self.file.read(min(max(n, RANGE), len(self) - a))
+        return self.held[a - self.at : a - self.at + n]
+
+    def __getitem__(self, key):
+        if isinstance(key, slice):
+            a, z, _ = key.indices(len(self))
+            return self._read(a, z - a) if z > a else b""
+        if not 0 <= key < len(self):
+            raise IndexError(key)
+        return self._read(key, 1)[0]
+
+
+def opened(path: str):
+    """A file's bytes by path: mapped where it is local, in ranges else."""
+    local = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    if "://" not in local:
+        with open(local, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return Ranged(system.open_input_file(name))
+
+
+def _plain(path):
+    return F.regexp_replace(path, r"\Afile:(?://)?", "")
+
+
+def inputs(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
+    """(file, path, content): files as given, whatever they are called; of folders the videos and what may be a sidecar.
+    `content` is null for files of more than `WHOLE` bytes."""
     names = sorted(dispatch.VIDEO | set(SIDECARS))
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    known = F.lower(F.regexp_extract("path", r"\.([^./]*)\z", 1)).isin(names)
-    return read.load(paths).where(known).select(F.regexp_replace("path", r"\Afile:(?://)?", "").alias("file"), "content")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+    given = [p.removeprefix("file://").removeprefix("file:") for p in paths]
+    file = _plain("path")
+    chosen = read.where(F.lower(F.regexp_extract("path", r"\.([^./]*)\z", 1)).isin(names) | file.isin(given))
+    rows = chosen.select(file.alias("file"), "path", "content", "length", file.isin(given).alias("named"))
+    # conditions on the length reach the source, which then doesn't open the files they leave out
+    small = rows.where(F.col("length") <= WHOLE).drop("length")
+    large = chosen.where(F.col("length") > WHOLE).select(file.alias("file"), "path", F.lit(None).cast("binary").alias("content"), file.isin(given).alias("named"))
+    return small.unionByName(large)
+
+
+def _struct(ddl: str) -> str:
+    return StructType.fromDDL(ddl).simpleString()
 
 
-def _rows(df: DataFrame, ddl: str, make: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
-    schema = StructType.fromDDL(ddl)
+def scan(df: DataFrame, full: bool = False, samples: int = 16, look_inside: bool = True) -> DataFrame:
+    """(track, finding), one of them null, for each (file, content) or (file, path, content, named): every file is read once.
+    Of files that are not named, those that are no video and no sidecar give no row."""
+    schema = StructType.fromDDL(f"track {_struct(extract.TRACK)}, finding {_struct(extract.FINDING)}")
     arrow = to_arrow_schema(schema)
+    names = {k: [f.name for f in arrow.field(k).type] for k in ("track", "finding")}
+    columns = ["file", "content", *(c for c in ("path", "named") if c in df.columns)]
+
+    def rows(file: str, data, named: bool) -> Iterator[dict]:
+        if not named and dispatch.extension(file) in SIDECARS and not collected(file, bytes(data[: extract.sidecar.HEAD])):
+            return
+        for kind, row in extract.scan(file, data, full, samples, look_inside):
+            yield {"track": None, "finding": None} | {kind: {k: row.get(k) for k in names[kind]}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                held: list[dict] = []
-                for row in make(b.column(0)[i].as_py(), b.column(1)[i].as_py() or b""):
-                    held.append({f.name: row.get(f.name) for f in arrow})
-                    if len(held) == BATCH:
-                        yield pa.RecordBatch.from_pylist(held, arrow)
-                        held = []
-                if held:
+                row = {n: b.column(j)[i].as_py() for j, n in enumerate(columns)}
+                try:
+                    data = row["content"] if row["content"] is not None or not row.get("path") else opened(row["path"])
+                    said = rows(row["file"], data or b"", row.get("named", True))
+                except Exception as e:  # a store that can't be read in ranges is an error of this file alone
+                    said = iter([{"track": {k: None for k in names["track"]} | {"file": row["file"], "error": f"can't be opened: {e}"}, "finding": None}])
+                while held := list(islice(said, BATCH)):
                     yield pa.RecordBatch.from_pylist(held, arrow)
 
-    return df.select("file", "content").mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(run, schema)
+
+
+def parted(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of tracks and rows of findings."""
+    return scanned.where("track IS NOT NULL").select("track.*"), scanned.where("finding IS NOT NULL").select("finding.*")
 
 
 def tracks(df: DataFrame, full: bool = False) -> DataFrame:
     """One row for each track of each (file, content), or one with the error of a file that can't be read."""
-    return _rows(df, extract.TRACK, lambda path, data: extract.track_rows(path, data, full))
+    return parted(scan(df, full, 0, look_inside=full))[0]
 
 
 def findings(df: DataFrame, full: bool = False, samples: int = 16) -> DataFrame:
     """(file, track_idx, ord, weight, sei, rpu): what the access units say that are looked at."""
-    return _rows(df, extract.FINDING, lambda path, data: extract.finding_rows(path, data, full, samples))
+    return parted(scan(df, full, samples))[1]
+
+
+def head(stream, sniff: int = SNIFF, budget=None) -> tuple[bytes, bool]:
+    """The beginning of a stream that can't be sought, and whether there was more: a block to tell its kind by, then as
+    much as that kind may need. `budget` gives the number of bytes for a block."""
+    budget = budget or (lambda b: TS_HEAD if dispatch.sniff(b) is dispatch.ts.read else OTHER_HEAD)
+
+    def more(have: bytes, n: int) -> bytes:
+        parts, left = [have], n - len(have)
+        while left > 0 and (got := stream.read(left)):
+            parts.append(got)
+            left -= len(got)
+        return b"".join(parts)
+
+    data = more(b"", sniff)
+    limit = budget(data)
+    if len(data) >= sniff:
+        data = more(data, limit + 1)
+    return data[:limit], len(data) > limit
 
 
 class MediaDataSource(DataSource):
@@ -82,18 +179,10 @@ class _MediaReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         path, full = partition.value, self.options.get("full") == "true"
-        with open(path, "rb") as f:
-            size = os.fstat(f.fileno()).st_size
-            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if size else b""
-            rows = extract.finding_rows(path, data, full, int(self.options.get("samples", 16))) if self.options.get("rows") == "findings" else extract.track_rows(path, data, full)
-            held = []
-            for row in rows:
-                held.append({c.name: row.get(c.name) for c in self.arrow})
-                if len(held) == BATCH:
-                    yield pa.RecordBatch.from_pylist(held, self.arrow)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_pylist(held, self.arrow)
+        data = opened(path)
+        rows = extract.finding_rows(path, data, full, int(self.options.get("samples", 16))) if self.options.get("rows") == "findings" else extract.track_rows(path, data, full)
+        while held := [{c.name: row.get(c.name) for c in self.arrow} for row in islice(rows, BATCH)]:
+            yield pa.RecordBatch.from_pylist(held, self.arrow)
 
 
 def collect_paths(paths: list[str], recursive: bool = False) -> list[str]:

@@ -125,14 +125,11 @@ def groups(maps: list[dict]) -> list[dict]:
     return out
 
 
-def streams(data, first: int, stride: int, pids: list[list[int]], budget: int | None):
-    """For each group, (bytes, units): elementary streams put together. A unit is given out when the next one of its PID
-    begins; the last never is."""
+def walk(data, first: int, stride: int, pids: list[list[int]], budget: int | None = None):
+    """(group, unit) of elementary streams put together, in the order in which units end. A unit is given out when the next
+    one of its PID begins; the last never is. No more is held than the open unit of each PID, however long the input."""
     owner = {p: i for i, group in enumerate(pids) for p in group}
     held: dict[int, list[bytes] | None] = {}
-    parts: list[list[bytes]] = [[] for _ in pids]
-    units: list[list[tuple[int, int]]] = [[] for _ in pids]
-    length = [0] * len(pids)
     for n, at in enumerate(packets(data, first, stride)):
         if budget is not None and n >= budget:
             break
@@ -141,16 +138,23 @@ def streams(data, first: int, stride: int, pids: list[list[int]], budget: int |
             continue
         pid, begins, body = p
         if begins:
-            done = b"".join(held.get(pid) or ())
-            if done:
-                i = owner[pid]
-                parts[i].append(done)
-                units[i].append((length[i], len(done)))
-                length[i] += len(done)
+            if done := b"".join(held.get(pid) or ()):
+                yield owner[pid], done
             from_ = 9 + body[8] if len(body) >= 9 and body[:3] == b"\x00\x00\x01" else len(body)
             held[pid] = [body[from_:]] if from_ < len(body) else None
         elif held.get(pid):
             held[pid].append(body)
+
+
+def streams(data, first: int, stride: int, pids: list[list[int]], budget: int | None):
+    """For each group, (bytes, units) of the first `budget` packets."""
+    parts: list[list[bytes]] = [[] for _ in pids]
+    units: list[list[tuple[int, int]]] = [[] for _ in pids]
+    length = [0] * len(pids)
+    for i, unit in walk(data, first, stride, pids, budget):
+        parts[i].append(unit)
+        units[i].append((length[i], len(unit)))
+        length[i] += len(unit)
     return [(b"".join(parts[i]), units[i]) for i in range(len(pids))]
 
 
@@ -202,6 +206,7 @@ def widest(data: bytes, units: list[tuple[int, int]], codec: str) -> tuple[dict,
 
 
 def read(data, full: bool = False) -> dict:
+    """Facts from the head. With `full` there is a `walk` over all units besides, which the head's lists do not hold."""
     found = layout(data)
     if not found:
         raise Unreadable("not a transport stream")
@@ -212,8 +217,7 @@ def read(data, full: bool = False) -> dict:
     if not tracks_of:
         raise Unreadable("no video stream in the program map")
     pids = [[s["pid"] for s in g["streams"]] for g in tracks_of]
-    budget = None if full else HEAD // 192 * min(len(pids), 3)
-    made = streams(data, *found, pids, budget)
+    made = streams(data, *found, pids, HEAD // 192 * min(len(pids), 3))
     clocks = [m["clock"] for m in maps] + [p for group in pids for p in group]
     secs = next((s for pid in clocks if pid != NO_PID and (s := clock_span(data, *found, pid))), None)
     out = []
@@ -229,4 +233,5 @@ def read(data, full: bool = False) -> dict:
         if not full and len(tracks_of) == 1:
             t["bitrate"] = bits_per_second(len(data), secs, "overall")
         out.append(t)
-    return media("MPEG-2 TS (M2TS/BDAV)" if found[1] == 192 else "MPEG-2 TS", out, secs)
+    whole = {"walk": lambda: walk(data, *found, pids)} if full else {}
+    return media("MPEG-2 TS (M2TS/BDAV)" if found[1] == 192 else "MPEG-2 TS", out, secs) | whole

@@ -77,7 +77,9 @@ def folder(tmp_path):
 def test_files_and_data_source(spark, folder):
     made, errors = probe.probe(spark, [str(folder)])
     assert sorted(r.file.rsplit("/", 1)[-1] for r in made.collect()) == ["a.hevc", "b.mp4"]
-    assert [r.file.rsplit("/", 1)[-1] for r in errors.collect()] == ["c.bin"]
+    assert errors.count() == 0  # a folder gives what is a video or a sidecar, a path is read whatever it is called
+    made, errors = probe.probe(spark, [str(folder / "c.bin"), str(folder / "note.txt"), str(folder / "a.hevc")])
+    assert sorted(r.file.rsplit("/", 1)[-1] for r in errors.collect()) == ["c.bin", "note.txt"] and made.count() == 1
     spark.dataSource.register(reader.MediaDataSource)
     rows = spark.read.format("hdr_media").load(str(folder)).select("file", "codec", "width").collect()
     assert [(r.file.rsplit("/", 1)[-1], r.codec, r.width) for r in rows] == [("a.hevc", "HEVC", 3840), ("b.mp4", "HEVC", 3840)]
@@ -147,3 +149,52 @@ def test_json_document_and_metrics(spark):
     probe.observed(made, seen).count()
     assert seen.get == {"files": 1, "tracks": 1}
     assert probe.json_document(made.limit(0), 2) == "[]"
+
+
+def test_files_beyond_two_gib(spark, tmp_path):
+    """Sparse files, so that nothing of that size is on the disk: one that can be read, one that can't."""
+    (tmp_path / "small.hevc").write_bytes(m.hevc_stream(4))
+    for name, data in (("big.hevc", m.hevc_stream(4)), ("zeros.ts", b""), ("big.mkv", m.mkv([m.sized(m.hevc_sei(), m.PICTURE)] * 3))):
+        with open(tmp_path / name, "wb") as f:
+            f.write(data)
+            f.truncate(2_306_867_200)
+    made, errors = probe.probe(spark, [str(tmp_path)])
+    got = {r.file.rsplit("/", 1)[-1]: r for r in made.collect()}
+    assert sorted(got) == ["big.hevc", "big.mkv", "small.hevc"] and got["big.hevc"].size_bytes == 2_306_867_200
+    assert {r.video_tracks[0].width for r in got.values()} == {3840}
+    assert [r.file.rsplit("/", 1)[-1] for r in errors.collect()] == ["zeros.ts"]
+
+
+def test_ranges_of_a_file_are_its_bytes(tmp_path, monkeypatch):
+    import random
+
+    from pyarrow import fs
+
+    data = random.Random(2).randbytes(5000)
+    (tmp_path / "x").write_bytes(data)
+    monkeypatch.setattr(reader, "RANGE", 64)
+    file = reader.Ranged(fs.LocalFileSystem().open_input_file(str(tmp_path / "x")))
+    part = file.part(1000, 4000)
+    for given, whole in ((file, data), (part, data[1000:4000]), (part.part(10), data[1010:4000])):
+        assert len(given) == len(whole) and given[:] == whole and given[-5:] == whole[-5:]
+        for a in (0, 63, 64, 900, len(whole) - 1):
+            assert given[a] == whole[a] and given[a : a + 100] == whole[a : a + 100]
+    stream = m.mkv([m.sized(m.hevc_sei(), m.PICTURE)] * 3)
+    (tmp_path / "y").write_bytes(stream)
+    read = reader.Ranged(fs.LocalFileSystem().open_input_file(str(tmp_path / "y")))
+    rows = lambda d: [r for r in reader.extract.scan("y", d, True, 16)]
+    assert rows(read) == rows(stream)
+
+
+def test_head_of_a_stream(spark):
+    import io
+
+    budget = lambda block: 24 if block[:1] == b"G" else 16
+    for first, limit in ((b"G", 24), (b"x", 16)):
+        for n in (1, 7, 8, 9, 16, 17, 24, 25, 60):
+            data = first + bytes(range(1, n))
+            assert reader.head(io.BytesIO(data), 8, budget) == (data[:limit], n > limit and n >= 8)
+    made, _ = probe.probe_stream(spark, io.BytesIO(m.mp4(SAMPLES, CONFIG)))
+    assert made.first().file == "-" and made.first().video_tracks[0].bitrate
+    with pytest.raises(ValueError):
+        probe.probe_stream(spark, io.BytesIO(b""))

@@ -229,3 +229,51 @@ def test_sidecars():
     other = m.START + b"\x7c\x01" + m.escaped(m.rpu([m.L5]))
     runs = sidecar.rpu_runs(unit * 3 + other + unit)
     assert [n for _, n in runs] == [3, 1, 1] and sidecar.kind("a.bin", unit) == "rpu"
+
+
+def test_windows_change_nothing():
+    import random
+
+    from nitscope.functions import bits
+
+    rnd = random.Random(8)
+    for _ in range(300):
+        data = bytes(rnd.choice((0, 0, 0, 1, 2, 65)) for _ in range(rnd.randrange(60)))
+        for window in (1, 2, 3, 7, 100):
+            assert list(raw.spans(data, window)) == list(bits.annexb(data)), (data, window)
+    for _ in range(200):
+        data = b"".join(m.obu(rnd.choice((1, 2, 5, 6)), bytes(rnd.randrange(40))) for _ in range(rnd.randrange(6)))
+        cut = data[: rnd.randrange(len(data) + 1)]
+        assert list(raw.unit_heads(cut, len(cut))) == [(k, a) for k, a, _, _ in bits.obus(cut)]
+
+
+def test_walks_give_the_units_of_the_lists():
+    frames = [m.frame(m.PICTURE + bytes([i + 1]) * 300) for i in range(5)]
+    data = m.ts(frames, config=CONFIG)
+    first, stride = ts.layout(data)
+    got = list(ts.walk(data, first, stride, [[0x1011]]))
+    assert [u for _, u in got] == frames == [b for raw_bytes, units in ts.streams(data, first, stride, [[0x1011]], None) for b in (raw_bytes[o : o + n] for o, n in units)]
+    blocks = [m.sized(m.hevc_sei(), m.PICTURE), m.sized(m.PICTURE), m.sized(m.PICTURE)]
+    film = m.mkv(blocks, CONFIG, t35=b"abc")
+    whole, head = mkv.read(film, True), mkv.read(film)
+    assert [(what, film[o : o + n]) for _, what, o, n in whole["walk"]()] == [("block", b) for b in blocks] + [("t35", b"abc")]
+    same = ("fps", "bitrate", "track_number", "width")
+    assert [whole["tracks"][0][k] for k in same] == [head["tracks"][0][k] for k in same] and whole["tracks"][0]["units"] == []
+    for name, given in (("a.ts", data), ("a.mkv", film), ("a.hevc", m.hevc_stream(5)), ("a.mp4", m.mp4(SAMPLES, CONFIG))):
+        rows = list(extract.scan(name, given, True, 16))
+        few = list(extract.scan(name, given, False, 1000))
+        assert [r for k, r in rows if k == "finding"] == [r for k, r in few if k == "finding"]
+        assert [r["units"] for k, r in rows if k == "track"] == [r["units"] for k, r in few if k == "track"]
+
+
+def test_memory_of_a_walk_does_not_grow():
+    import tracemalloc
+
+    peaks = []
+    for n in (200, 2000):
+        data = m.ts([m.frame(m.PICTURE + bytes([7]) * 1500)] * n)
+        tracemalloc.start()
+        assert sum(1 for _ in ts.walk(data, *ts.layout(data), [[0x1011]])) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
