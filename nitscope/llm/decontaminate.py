@@ -11,7 +11,8 @@ broadcast has a fixed bound (an index of a full block takes less than 64 MB) and
 
 Defined cases: null or empty texts are in no result and in no item; an item of fewer than Q characters can't be told
 from ordinary text and is never reported; equal items, and ties between them, are each reported; a row is judged as often
-as it stands in the table; a text of any length is read whole, `SCAN` characters at a time; of the columns only key and
+as it stands in the table; a text of any length is read whole, `SCAN` characters at a time, and an item of more than
+`BLOCK_CHARS` in parts, each of which is reported for itself; of the columns only key and
 text are looked at, and where the item's key has the name of the document's it becomes `item_` and that name; an empty
 table or benchmark gives no results.
 """

@@ -5,9 +5,12 @@ encoded whole, in chunks, once with each dictionary; the smallest total wins, an
 reported (`narrow`), or rejected as `und` with `reject=True`.
 
 Only the dictionaries are fitted on a sample: `SAMPLE_DOCS` different texts a language, chosen by their own hash, of
-each a stretch of `SNIPPET_CHARS` from a place its hash names. Defined cases: a null text or one without any letter is
-`und` with score 0; without any labelled text everything is `und`; repeated rows get equal results; an empty table gives
-an empty table; a null language is not learned.
+each a stretch of at most `SNIPPET_CHARS` characters from a place its hash names; a dictionary is all of that sample, and
+the driver holds no more than that for each of at most `MAX_LANGUAGES` languages. Defined cases: a null text or one without
+any letter is `und` with score 0; without any labelled text everything is `und`; of languages with equal sizes the first by
+name wins, and is narrow; very long texts are encoded whole, chunk by chunk; columns with the names of the added ones are
+replaced, others passed on; repeated rows get equal results; an empty table gives an empty table; a null language is not
+learned.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql.window import Window
 from nitscope.runtime import unused
 
 UNDEFINED = "und"
-SAMPLE_DOCS, SNIPPET_CHARS, DICTIONARY_BYTES = 400, 2000, 160_000
+SAMPLE_DOCS, SNIPPET_CHARS = 120, 2000
 MAX_LANGUAGES = 500
 LEVEL, SHORTEST_MATCH, CHUNK = 6, 3, 4096
 #: A lead of less than this share of the second size is narrow.
@@ -58,7 +61,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     texts: dict[str, list[bytes]] = {k: [] for k in counts}
     for r in sample.orderBy("lang", "i").select("lang", "s").collect():
         texts[r["lang"]].append(normal(r["s"]))
-    return {k: b" ".join(v)[-DICTIONARY_BYTES:] for k, v in texts.items() if v}
+    return {k: b" ".join(v) for k, v in texts.items() if v}
 
 
 class Classifier:
@@ -90,7 +93,7 @@ class Classifier:
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", reject: bool = True) -> DataFrame:
     """`docs` without the text, plus lang_pred, score and narrow. With `reject`, a narrow margin is `und`."""
-    keep = [c for c in docs.columns if c not in (text, "lang_pred", "score", "narrow")]
+    keep = [c for c in docs.columns if c != text and c.lower() not in ("lang_pred", "score", "narrow")]
     given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(unused("__text", docs.columns)))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
 

@@ -4,7 +4,8 @@
 A word is a maximal run of characters other than space and U+0009 to U+000D. Null and empty texts have no words;
 all their counts are 0 and they fail the rule on the number of words. Rows are judged one by one: repeated rows
 get the same verdict each, an empty table gives an empty table, and columns besides the text are passed on as they are
-(a column of the same name as a measure is replaced only in `measure(..., prefix)` by choosing another prefix).
+(a column of the same name as a measure is replaced, unless another prefix is chosen). Very long texts are measured whole,
+as arrays of their words in one row; a value on a threshold is within it.
 """
 
 from __future__ import annotations

@@ -1,12 +1,14 @@
 """URL filter: host and path rules, then logistic regression on hashed character n-grams, all in Spark SQL.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is judged by the model,
-which scores it by its bias alone. Repeated rows get equal verdicts, an empty table gives an empty table, and other
-columns are passed on; the six added columns replace columns of the same names.
+which scores it by its bias alone. A url of any length is judged whole; of rules that fit, the longest wins, of equally
+long ones the last by host and path; a score of one half is `block`. Repeated rows get equal verdicts, an empty table gives
+an empty table, and other columns are passed on; the six added columns replace columns of the same names.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ BUCKETS = 2048
 GRAMS = (3, 4, 5)
 EPOCHS, RATE, DECAY = 30, 0.5, 1e-4
 #: The labelled table is meant to be small; more rows than this are refused rather than cut.
-MAX_LABELLED = 100_000
+MAX_LABELLED = 20_000
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -95,28 +97,29 @@ def margin(features: Column, model: dict) -> Column:
 
 
 def train(labelled: DataFrame) -> dict:
-    """Full-batch logistic regression with per-weight step sizes. Each epoch is one aggregation of the gradient by
-    bucket; what comes back to the driver is at most one number for each of the `2 * BUCKETS` weights."""
+    """Full-batch logistic regression with per-weight step sizes. The buckets of the labelled rows, of which there are no
+    more than `MAX_LABELLED`, come to the driver once; pages are scored in SQL."""
     host, path = split_url(F.col("url"))
-    rows = labelled.where("bad IS NOT NULL").select(F.col("bad").cast("double").alias("y"), grams(host, path).alias("x")).cache()
-    n = rows.count()
-    if n > MAX_LABELLED:
-        raise ValueError(f"{n} labelled rows; the table may have {MAX_LABELLED}")
-    model = {"w": [0.0] * (2 * BUCKETS), "bias": 0.0}
-    seen = [1e-8] * (2 * BUCKETS + 1)
+    rows = labelled.where("bad IS NOT NULL").select(F.col("bad").cast("double").alias("y"), grams(host, path).alias("x")).limit(MAX_LABELLED + 1).collect()
+    if len(rows) > MAX_LABELLED:
+        raise ValueError(f"the labelled table has more than {MAX_LABELLED} rows")
+    w, bias = np.zeros(2 * BUCKETS), 0.0
+    n, seen, seen_bias = len(rows), np.full(2 * BUCKETS, 1e-8), 1e-8
+    y, sizes = np.array([r["y"] for r in rows]), np.array([len(r["x"]) for r in rows], int)
+    flat = np.array([b for r in rows for b in r["x"]], int)
+    row, scale = np.repeat(np.arange(n), sizes), 1 / np.sqrt(np.maximum(sizes, 1))
+    touched = np.zeros(2 * BUCKETS, bool)
+    touched[flat] = True
     for _ in range(EPOCHS if n else 0):
-        scored = rows.select("x", ((1 / (1 + F.exp(-margin(F.col("x"), model)))) - F.col("y")).alias("r"))
-        each = scored.select(F.explode(F.concat(F.col("x"), F.array(F.lit(-1)))).alias("b"), (F.col("r") / F.sqrt(F.size("x").cast("double"))).alias("g"), "r")
-        step = each.groupBy("b").agg(F.sum(F.when(F.col("b") < 0, F.col("r")).otherwise(F.col("g"))).alias("g")).collect()
-        for b, g in step:
-            g = g / n + (DECAY * model["w"][b] if b >= 0 else 0)
-            seen[b] += g * g
-            if b >= 0:
-                model["w"][b] -= RATE * g / seen[b] ** 0.5
-            else:
-                model["bias"] -= 0.1 * RATE * g / seen[b] ** 0.5
-    rows.unpersist()
-    return model
+        z = bias + np.bincount(row, w[flat], minlength=n) * scale
+        r = 1 / (1 + np.exp(-z)) - y
+        g = np.where(touched, np.bincount(flat, (r * scale)[row], minlength=2 * BUCKETS) / n + DECAY * w, 0)
+        seen += g * g
+        w -= RATE * g / np.sqrt(seen)
+        of_bias = r.sum() / n
+        seen_bias += of_bias * of_bias
+        bias -= 0.1 * RATE * of_bias / np.sqrt(seen_bias)
+    return {"w": w.tolist(), "bias": float(bias)}
 
 
 def judge(pages: DataFrame, model: dict, url: str = "url", rules=RULES) -> DataFrame:
