@@ -3,6 +3,7 @@ give the values back, which the SQL twin reads off the table."""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,9 +14,10 @@ from pyspark.sql.types import StructType
 
 from nitscope.functions import bits, headers, sei
 from nitscope.functions import rpu as rpu_functions
+from nitscope.operators import ordered
 from nitscope.plans import probe, render, samples
 from nitscope.runtime import table
-from nitscope.sources import disc, dispatch, extract, reader, sidecar
+from nitscope.sources import disc, dispatch, extract, raw, reader, sidecar
 from nitscope.sources.model import Unreadable
 
 QUERIES: dict = {}
@@ -420,3 +422,60 @@ def container_only(spark, sf_dir):
     report, _ = probe.probe_bytes(films(spark, sf_dir), rpu=False)
     dv = F.get("video_tracks", F.lit(0))["dolby_vision"]
     return report.select("file", dv["profile"].alias("dv_profile"), dv["rpu_count"].alias("rpu_count"), dv["sampled"].alias("sampled"))
+
+
+# ---- walks, heads, merges
+
+
+@query("""
+    SELECT p_partkey, n + 1 AS ts_units, CAST(52 AS BIGINT) + n * (8 + p_partkey % 400) AS ts_bytes, n AS mkv_units, n * (4 + p_partkey % 400) AS mkv_bytes, 3 * n AS spans, n AS delimiters
+    FROM (SELECT *, CAST(1 + p_size % 5 AS BIGINT) AS n FROM part)""")
+def whole_walks(spark, sf_dir):
+    """STR-01, STR-02, STR-03, AGG-13: walks over whole inputs that hold a unit or a window at a time: units and bytes of a
+    transport stream and of Matroska blocks, units across the borders of small windows, AV1 delimiters."""
+
+    def make(k, s):
+        n, fill = 1 + s % 5, k % 400
+        units = [samples.with_codes(picture(i + 1, fill)) for i in range(n)]
+        stream = dispatch.demux("film.ts", samples.ts([samples.with_codes(bytes([0x42, 1]) + b"\xff" * 46), *units], 3), full=True)
+        entry = samples.track_entry(7, 640, 480, samples.hevc_sps(640, 480), 16, 1, None)
+        film = dispatch.demux("film.mkv", samples.mkv(entry, [[samples.simple_block(1, picture(i, fill))] for i in range(n)], 1), full=True)
+        got, blocks = [u for _, u in stream["walk"]()], [size for _, _, _, size in film["walk"]()]
+        data = samples.with_codes(*[samples.PARAMETERS, samples.PICTURE, b"\x44\x01\xc1"] * n)
+        heads = raw.unit_heads(av1 := (samples.obu(2, b"") + samples.obu(6, bytes(fill % 100))) * n, len(av1))
+        return {"ts_units": len(got), "ts_bytes": sum(map(len, got)), "mkv_units": len(blocks), "mkv_bytes": sum(blocks), "spans": sum(1 for _ in raw.spans(data, 1 + k % 9)), "delimiters": sum(kind == 2 for kind, _ in heads)}
+
+    return parts(spark, sf_dir, "ts_units long, ts_bytes long, mkv_units long, mkv_bytes long, spans long, delimiters long", make)
+
+
+@query("""
+    SELECT n_nationkey, cut AS truncated, CASE WHEN NOT (cut AND n_nationkey % 3 = 0) THEN CAST(CASE n_nationkey % 3 WHEN 0 THEN 9.0 WHEN 1 THEN 0.125 ELSE 0.12 END AS DOUBLE) END AS duration_secs, NOT cut OR n_nationkey % 3 = 1 AS has_rate
+    FROM (SELECT *, n_nationkey % 2 = 1 AS cut FROM nation)""")
+def stream_heads(spark, sf_dir):
+    """SRC-27, PRJ-04: heads of streams that end within what is read of them or not; a cut one claims less."""
+
+    def make(k):
+        sps = samples.hevc_sps(1920, 1080)
+        entry = samples.sample_entry(sps, 1920, 1080, 10, 16, None)
+        made = (samples.ts([samples.with_codes(sps, samples.PICTURE)] * 4, 9), samples.mp4([{"entry": entry, "samples": [samples.with_sizes(picture(1, 9))] * 3}]), samples.mkv(samples.track_entry(1, 640, 480, sps, 16, 1, None), [[samples.simple_block(1, picture(1, 9))] * 3], 0.12))[k % 3]
+        content, cut = reader.head(io.BytesIO(made + bytes(500 * (k % 2))), 64, lambda block: len(made))
+        return {"file": f"{k}", "content": content, "truncated": cut}
+
+    heads = over(table(spark, sf_dir, "nation"), "n_nationkey", "file string, content binary, truncated boolean", make)
+    report, _ = probe.probe_bytes(heads.drop("n_nationkey"))
+    said = report.select(F.col("file").cast("int").alias("n_nationkey"), "duration_secs", F.get("video_tracks", F.lit(0))["bitrate"].isNotNull().alias("has_rate"))
+    return heads.select("n_nationkey", "truncated").join(said, "n_nationkey", "left")
+
+
+@query("SELECT n_nationkey, CAST(100 + n_nationkey AS INTEGER) AS max_cll, CAST(2 AS BIGINT) AS said FROM nation")
+def ordered_merge(spark, sf_dir):
+    """STR-04, AGG-07: findings of the units of whole inputs, dealt anyhow: the first in order wins."""
+
+    def make(k):
+        unit = lambda cll: samples.with_codes(samples.light(cll, 50), samples.PICTURE)
+        return {"file": f"{k}.hevc", "content": samples.with_codes(samples.PARAMETERS, samples.PICTURE) * 2 + unit(100 + k) + samples.with_codes(samples.PICTURE) * (30 + k) + unit(900)}
+
+    films = over(table(spark, sf_dir, "nation"), "n_nationkey", "file string, content binary", make).select("file", "content")
+    found = reader.findings(films, full=True).where("sei IS NOT NULL").repartition(7, "ord")
+    first = found.groupBy("file").agg(ordered.first_known(F.col("sei.content_light"), F.col("ord")).alias("light"), F.count("*").alias("said"))
+    return first.select(F.regexp_extract("file", r"\A(\d+)", 1).cast("int").alias("n_nationkey"), "light.max_cll", "said")
