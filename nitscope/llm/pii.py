@@ -167,21 +167,29 @@ def _hash(pattern: Column) -> Column:
     return F.pmod(F.xxhash64(pattern), F.lit(BITS)).cast("int")
 
 
+def _table_of(hashes: DataFrame) -> Column:
+    """A constant array of `BITS` bits: those of the hashes `h` are set."""
+    longs = [0] * (BITS // 64)
+    for r in hashes.distinct().collect():
+        longs[r["h"] // 64] |= 1 << r["h"] % 64
+    return F.from_json(F.lit("[" + ",".join(str(x - (1 << 64) if x >> 63 else x) for x in longs) + "]"), "array<bigint>")
+
+
 def totals(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """(pattern, total): how often each of `patterns` (pattern) stands before anything, over all texts. What is not one by
-    the table of its `BITS` hashes, which is all that the driver sees, is not counted."""
+    tables of the `BITS` hashes of patterns and their last words, which are all that the driver sees, is not counted."""
     words = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+"), F.lit(0)), lambda w: F.lower(w))
-    longs = [0] * (BITS // 64)
-    for r in patterns.select(_hash(F.col("pattern")).alias("h")).distinct().collect():
-        longs[r["h"] // 64] |= 1 << r["h"] % 64
-    table = F.from_json(F.lit("[" + ",".join(str(x - (1 << 64) if x >> 63 else x) for x in longs) + "]"), "array<bigint>")
-    there = lambda p: F.getbit(F.get(table, F.shiftright(_hash(p), 6)), _hash(p).bitwiseAND(63)) == 1
+    last = F.element_at(F.split("pattern", " "), -1)
+    every, ends = (_table_of(patterns.select(_hash(x).alias("h"))) for x in (F.col("pattern"), last))
+    there = lambda t, x: F.getbit(F.get(t, F.shiftright(_hash(x), 6)), _hash(x).bitwiseAND(63)) == 1
 
     def before(w: Column) -> Column:
-        last = F.size(w) - 1
-        one = F.filter(w, lambda x, i: (i < last) & there(x))
-        two = F.filter(F.transform(w, lambda x, i: F.when((i > 0) & (i < last), F.concat(F.get(w, i - 1), F.lit(" "), x))), lambda x: x.isNotNull() & there(x))
-        return F.concat(one, two)
+        hits = F.transform(w, lambda x, i: F.when((i < F.size(w) - 1) & there(ends, x), F.struct(x.alias("x"), F.when(i > 0, F.get(w, i - 1)).alias("y"))))
+        return _let(F.filter(hits, lambda h: h.isNotNull()), both)
+
+    def both(hits: Column) -> Column:
+        two = F.transform(hits, lambda h: F.concat(h["y"], F.lit(" "), h["x"]))
+        return F.filter(F.concat(F.transform(hits, lambda h: h["x"]), two), lambda p: p.isNotNull() & there(every, p))
 
     counted = docs.select(F.explode(_let(words, before)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
     return counted.join(patterns.select("pattern"), "pattern", "left_semi")
