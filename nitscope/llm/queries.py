@@ -39,7 +39,7 @@ def op4_pii(spark, sf_dir):
     found = pii.find(docs, pii.learn_patterns(docs))
     base = F.filter("spans", lambda x: x["kind"] != pii.FOUND)
     counts = [_count(k).alias(f"n_{k}") for k in pii.KINDS]
-    return found.withColumn("base", base).select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return found.withColumn("base", base).select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), _count(pii.FOUND).alias("n_id"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_urls(spark, sf_dir):
