@@ -314,12 +314,17 @@ def _descend(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, error: np.nd
     """One step: the errors of equal rows are summed, each weight moves by its own rate."""
     order = np.argsort(rows.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32), kind="stable")
     r = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    g = np.add.reduceat(error.take(order, axis=0), first, axis=0)
-    r = r[first]
+    new = np.concatenate(([True], r[1:] != r[:-1]))
+    first = np.flatnonzero(new)
+    r, g = r[first], error.take(order[first], axis=0)
+    times = np.diff(first, append=len(order))
+    several = times > 1
+    if several.any():  # rows that come once are no sums
+        some = order[np.repeat(several, times)]
+        at = np.cumsum(times[several]) - times[several]
+        g[several] = np.add.reduceat(error.take(some, axis=0), at, axis=0)
     sums, now = seen.take(r, axis=0), table.take(r, axis=0)
-    step = g * g
-    sums += step
+    sums += g * g
     seen[r] = sums
     sums += 1
     np.sqrt(sums, out=sums)
