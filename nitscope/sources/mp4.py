@@ -13,7 +13,6 @@ from nitscope.sources.model import Unreadable, bits_per_second, fill_color, fill
 
 #: Codec of a sample entry.
 CODECS = {"hvc1": "HEVC", "hev1": "HEVC", "dvh1": "HEVC", "dvhe": "HEVC", "avc1": "AVC", "avc3": "AVC", "dva1": "AVC", "dvav": "AVC", "av01": "AV1", "dav1": "AV1", "vp09": "VP9"} | dict.fromkeys(headers.PRORES, "ProRes")
-MAX_RUN = 1 << 20
 
 
 class Box:
@@ -135,7 +134,9 @@ def fragment_units(top: list[Box], track_id: int, defaults: dict[int, tuple[int,
                 fields = [b for b in (0x100, 0x200, 0x400, 0x800) if flags & b]
                 if 0x200 not in fields and size is None:
                     continue
-                count = min(count, max(len(raw) - at, 0) // (4 * len(fields))) if fields else min(count, MAX_RUN)
+                # no more than the run lists or, where it lists none, than the file has room for
+                room = max(len(moof.data) - place, 0) // size if size else 0
+                count = min(count, max(len(raw) - at, 0) // (4 * len(fields)) if fields else room)
                 for i in range(count):
                     row = {b: big(raw, at + 4 * (i * len(fields) + j), 4) for j, b in enumerate(fields)}
                     n = row.get(0x200, size or 0)

@@ -82,3 +82,18 @@ def test_complete_and_first(spark):
     present = spark.createDataFrame([("x",), ("y",), ("y",)], "clip string")
     got = lookups.complete_and_first(items, ["g"], "name", F.col("clip"), present, "clip")
     assert sorted((r.name, r["items"]) for r in got.collect()) == [("a", ["x", "y"]), ("d", ["x"])]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from nitscope import runtime
+
+    none = SimpleNamespace(get=lambda *_: None)
+    for master, fine in (("spark://host:7077", False), ("yarn", False), ("local[2]", True)):
+        session = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, master=master, applicationId="app-x"))
+        if fine:
+            assert runtime.checkpoint_root(session).startswith("file://")
+        else:
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                runtime.checkpoint_root(session)

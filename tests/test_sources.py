@@ -277,3 +277,15 @@ def test_memory_of_a_walk_does_not_grow():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 1.5 * peaks[0]
+
+
+def test_runs_without_sizes_are_as_long_as_the_file_allows():
+    from nitscope.plans import samples
+
+    entry = samples.sample_entry(samples.hevc_sps(640, 480), 640, 480, 10, 16, None)
+    units = [m.sized(m.PICTURE)] * 50
+    data = samples.fragmented_mp4(entry, [units], "track")
+    assert len(mp4.read(data)["tracks"][0]["units"]) == 50
+    at = data.index(b"trun") + 8
+    claimed = data[:at] + (1 << 31).to_bytes(4, "big") + data[at + 4 :]
+    assert len(mp4.read(claimed)["tracks"][0]["units"]) == 50
