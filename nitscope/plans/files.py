@@ -4,6 +4,7 @@ give the values back, which the SQL twin reads off the table."""
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,9 +16,9 @@ from pyspark.sql.types import StructType
 from nitscope.functions import bits, headers, sei
 from nitscope.functions import rpu as rpu_functions
 from nitscope.operators import ordered
-from nitscope.plans import probe, render, samples
+from nitscope.plans import probe, progress, render, samples
 from nitscope.runtime import table
-from nitscope.sources import disc, dispatch, extract, raw, reader, sidecar
+from nitscope.sources import disc, dispatch, extract, mp4, raw, reader, sidecar
 from nitscope.sources.model import Unreadable
 
 QUERIES: dict = {}
@@ -479,3 +480,38 @@ def ordered_merge(spark, sf_dir):
     found = reader.findings(films, full=True).where("sei IS NOT NULL").repartition(7, "ord")
     first = found.groupBy("file").agg(ordered.first_known(F.col("sei.content_light"), F.col("ord")).alias("light"), F.count("*").alias("said"))
     return first.select(F.regexp_extract("file", r"\A(\d+)", 1).cast("int").alias("n_nationkey"), "light.max_cll", "said")
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN CAST(0 AS INTEGER) ELSE CAST(1 + p_size % 5 AS INTEGER) END AS hints, p_partkey % 3 < 2 AS all_fragments FROM part""")
+def fragment_hints(spark, sf_dir):
+    """SRC-08: heads of fragments by a segment index in front, by an index at the end, or without any."""
+
+    def make(k, s):
+        n = 1 + s % 5
+        entry = samples.sample_entry(samples.hevc_sps(640, 480), 640, 480, 10, 16, None)
+        data = samples.fragmented_mp4(entry, [[samples.with_sizes(picture(i, 5 + k % 20))] for i in range(n)], "run")
+        data = samples.indexed(data, ("front", "end", "none")[k % 3])
+        heads = mp4.fragment_heads(data)
+        return {"hints": len(heads), "all_fragments": bool(heads) and all(data[o + 4 : o + 8] == b"moof" for o in heads)}
+
+    return parts(spark, sf_dir, "hints int, all_fragments boolean", make)
+
+
+@query("SELECT p_partkey, CASE WHEN p_size = 0 THEN 100 ELSE least(p_partkey, p_size) * 100 // p_size END AS percent, 'progress' AS event FROM part")
+def progress_events(spark, sf_dir):
+    """SNK-05: lines that tell how far a stage is."""
+    return parts(spark, sf_dir, "percent long, event string", lambda k, s: json.loads(progress.event("scan", k, s, 5)))
+
+
+@query(f"SELECT {_FILM} AS file, true AS narrow, true AS same_words, true AS themed FROM nation")
+def terminal_reports(spark, sf_dir):
+    """SNK-04: reports for a terminal: no line but one of a single word is longer than the width, and without the codes and
+    the breaks it is the text form."""
+    report = probe.probe_bytes(films(spark, sf_dir))[0]
+    squeezed = lambda x: F.regexp_replace(x, r"\s+", " ")
+    plain = F.regexp_replace("text", "\x1b" + r"\[[0-9;]*m", "")
+    shown = render.styled(report, "dark", 40).select("file", plain.alias("shown"), F.col("text").contains("\x1b[1;96mGeneral\x1b[0m").alias("themed"))
+    both = shown.join(render.text(report), "file")
+    long = F.exists(F.split("shown", "\n"), lambda x: (F.length(x) > 40) & F.trim(F.substr(x, F.lit(23), F.length(x))).contains(" "))
+    return both.select("file", (~long).alias("narrow"), (squeezed(F.col("shown")) == squeezed(F.col("text"))).alias("same_words"), "themed")

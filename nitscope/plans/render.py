@@ -48,3 +48,33 @@ def text(report: DataFrame) -> DataFrame:
     """(file, text): the whole report of each file."""
     head = F.concat_ws("\n", F.col("file"), _line("Container", F.col("container")), _line("File size", labels.human_size(F.col("size_bytes"))), _line("Duration", labels.human_duration(F.col("duration_secs"))))
     return report.select("file", F.concat_ws("\n\n", head, F.concat_ws("\n\n", F.transform("video_tracks", track_text))).alias("text"))
+
+
+#: Terminal codes of titles and names, by theme; the plain one has none.
+THEMES = {"plain": ("", "", ""), "dark": ("\x1b[1;96m", "\x1b[90m", "\x1b[0m"), "light": ("\x1b[1;34m", "\x1b[37m", "\x1b[0m")}
+
+
+def reflow(report_text, width: int):
+    """The text with lines of at most `width` characters: a value goes on below itself, broken at spaces; a word that is
+    longer than a line stays whole."""
+    room = max(width - WIDTH, 1)
+
+    def line(x):
+        value = F.substr(x, F.lit(WIDTH + 1), F.length(x))
+        wrapped = F.regexp_replace(value, rf"(\S{{{room + 1},}}|.{{1,{room}}})(?:\s+|\z)", "$1\n" + " " * WIDTH)
+        return F.when((F.length(x) > width) & x.startswith("  "), F.concat(F.substr(x, F.lit(1), F.lit(WIDTH)), F.regexp_replace(wrapped, r"[\n ]+\z", ""))).otherwise(x)
+
+    return F.array_join(F.transform(F.split(report_text, "\n"), line), "\n")
+
+
+def styled(report: DataFrame, theme: str = "dark", width: int = 100) -> DataFrame:
+    """(file, text) for a terminal: the text form reflowed, with the theme's codes around titles and names."""
+    title, name, end = THEMES[theme]
+
+    def line(x):
+        named = F.concat(F.lit("  " + name), F.substr(x, F.lit(3), F.lit(WIDTH - 2)), F.lit(end), F.substr(x, F.lit(WIDTH + 1), F.length(x)))
+        lead = x.startswith("  ") & ~x.startswith("   ")
+        return F.when(lead, named).when((x != "") & ~x.startswith(" "), F.concat(F.lit(title), x, F.lit(end))).otherwise(x)
+
+    shown = F.transform(F.split(reflow(F.col("text"), width), "\n"), line)
+    return text(report).select("file", F.array_join(shown, "\n").alias("text"))

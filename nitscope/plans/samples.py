@@ -214,6 +214,25 @@ def fragmented_mp4(entry: bytes, fragments: list[list[bytes]], sized_by: str, sc
     return out
 
 
+def indexed(data: bytes, where: str) -> bytes:
+    """The fragmented file with a segment index before its first fragment ("front") or a random-access index at its end
+    ("end")."""
+    starts, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if data[at + 4 : at + 8] == b"moof":
+            starts.append(at)
+        at += size
+    if where == "front":
+        sizes = [z - a for a, z in zip(starts, [*starts[1:], len(data)], strict=True)]
+        entries = b"".join(number(4, n, 1000, 1 << 31) for n in sizes)
+        return data[: starts[0]] + box("sidx", number(4, 0, 1, 24000, 0, 0), number(2, 0, len(sizes)), entries) + data[starts[0] :]
+    if where == "end":
+        table = box("tfra", number(4, 0, 1, 0, len(starts)), *(number(4, i, a) + bytes([1, 1, 1]) for i, a in enumerate(starts)))
+        return data + box("mfra", table, box("mfro", number(4, 0, 8 + len(table) + 16)))
+    return data
+
+
 # ---- Matroska
 
 

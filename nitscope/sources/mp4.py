@@ -148,6 +148,54 @@ def fragment_units(top: list[Box], track_id: int, defaults: dict[int, tuple[int,
     return units, ticks
 
 
+def _from_sidx(box: Box) -> list[int]:
+    """Where the fragments begin that a segment index names: one behind the other, the first behind the box."""
+    raw = box.bytes()
+    wide = raw[:1] != b"\x00"
+    skip, at = (big(raw, 20, 8), 32) if wide else (big(raw, 16, 4), 24)
+    count = min(big(raw, at - 2, 2), max(len(raw) - at, 0) // 12)
+    words = np.frombuffer(raw[at : at + 12 * count], ">u4").reshape(-1, 3)[:, 0].astype(np.int64)
+    nested, sizes = words >> 31 == 1, words & 0x7FFFFFFF
+    if (empty := np.flatnonzero(sizes == 0)).size:
+        nested, sizes = nested[: empty[0]], sizes[: empty[0]]
+    starts = box.end + skip + np.cumsum(sizes) - sizes
+    return starts[~nested].tolist()
+
+
+def _from_mfra(data) -> list[int]:
+    """Those that the random-access index at the file's end names, for all tracks."""
+    tail, out = bytes(data[max(len(data) - 16, 0) :]), set()
+    if len(tail) < 16 or tail[4:8] != b"mfro" or big(tail, 0, 4) != 16:
+        return []
+    for mfra in boxes(data, max(len(data) - big(tail, 12, 4), 0), len(data))[:1]:
+        for raw in (b.bytes() for b in mfra.children() if mfra.kind == "mfra" and b.kind == "tfra"):
+            wide, widths = 8 if raw[:1] == b"\x01" else 4, big(raw, 8, 4)
+            row = 2 * wide + sum((widths >> shift & 3) + 1 for shift in (4, 2, 0))
+            count = min(big(raw, 12, 4), max(len(raw) - 16, 0) // row)
+            out |= {big(raw, 16 + i * row + wide, wide) for i in range(count)}
+    return sorted(o for o in out if 0 < o < len(data))
+
+
+def fragment_heads(data, most: int = 4096) -> list[int]:
+    """Where fragments are said to begin, by an index before the first of them or at the end: hints of what to read ahead,
+    on which no result depends. `most` bounds what an index may ask for."""
+    front = []
+    at = 0
+    while at + 8 <= len(data) and (b := next(iter(boxes_one(data, at)), None)) and b.kind != "moof":
+        if b.kind == "sidx":
+            front = _from_sidx(b)
+            break
+        at = b.end
+    return [o for o in front or _from_mfra(data) if o < len(data)][:most]
+
+
+def boxes_one(data, at: int) -> list[Box]:
+    """The box at a place, without looking at those behind it."""
+    head = bytes(data[at : at + 16])
+    size = big(head, 8, 8) if big(head, 0, 4) == 1 else big(head, 0, 4) or len(data) - at
+    return boxes(data, at, min(at + size, len(data))) if size >= 8 else []
+
+
 def _colour(raw: bytes) -> dict | None:
     if raw[:4] not in (b"nclx", b"nclc") or len(raw) < 10:
         return None

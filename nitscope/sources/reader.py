@@ -25,6 +25,8 @@ BATCH = 1024
 WHOLE = 64 << 20
 #: Bytes that are read at a time from a file that can't be mapped.
 RANGE = 1 << 20
+#: Bytes of a fragment's head that are read ahead.
+HEAD = 16 << 10
 #: Bytes of a stream that its kind is told by, and those that are read of a transport stream and of any other.
 SNIFF, TS_HEAD, OTHER_HEAD = 64 << 10, 24 << 20, 16 << 20
 
@@ -69,6 +71,18 @@ def opened(path: str):
     return Ranged(system.open_input_file(name))
 
 
+def warm(path: str, data, full: bool) -> None:
+    """Tell the system what of a mapped file will be read: all of it in order, or the heads of an MP4's fragments, which are
+    far apart. Files of other stores are read ahead by `Ranged` itself."""
+    if not isinstance(data, mmap.mmap) or not hasattr(data, "madvise"):
+        return
+    if full:
+        data.madvise(mmap.MADV_SEQUENTIAL)
+    elif dispatch.PARSERS.get(dispatch.extension(path)) is dispatch.mp4.read:
+        for at in dispatch.mp4.fragment_heads(data):
+            data.madvise(mmap.MADV_WILLNEED, at - at % mmap.PAGESIZE, min(HEAD, len(data) - at))
+
+
 def _plain(path):
     return F.regexp_replace(path, r"\Afile:(?://)?", "")
 
@@ -111,7 +125,9 @@ def scan(df: DataFrame, full: bool = False, samples: int = 16, look_inside: bool
             for i in range(b.num_rows):
                 row = {n: b.column(j)[i].as_py() for j, n in enumerate(columns)}
                 try:
-                    data = row["content"] if row["content"] is not None or not row.get("path") else opened(row["path"])
+                    data = row["content"]
+                    if data is None and row.get("path"):
+                        warm(row["file"], data := opened(row["path"]), full)
                     said = rows(row["file"], data or b"", row.get("named", True))
                 except Exception as e:  # a store that can't be read in ranges is an error of this file alone
                     said = iter([{"track": {k: None for k in names["track"]} | {"file": row["file"], "error": f"can't be opened: {e}"}, "finding": None}])
@@ -179,7 +195,7 @@ class _MediaReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         path, full = partition.value, self.options.get("full") == "true"
-        data = opened(path)
+        warm(path, data := opened(path), full)
         rows = extract.finding_rows(path, data, full, int(self.options.get("samples", 16))) if self.options.get("rows") == "findings" else extract.track_rows(path, data, full)
         while held := [{c.name: row.get(c.name) for c in self.arrow} for row in islice(rows, BATCH)]:
             yield pa.RecordBatch.from_pylist(held, self.arrow)

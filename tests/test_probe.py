@@ -198,3 +198,40 @@ def test_head_of_a_stream(spark):
     assert made.first().file == "-" and made.first().video_tracks[0].bitrate
     with pytest.raises(ValueError):
         probe.probe_stream(spark, io.BytesIO(b""))
+
+
+def test_progress_of_an_action(spark):
+    import io
+    import time
+
+    from nitscope.plans import progress
+
+    assert [progress.percent(*x) for x in ((0, 0), (0, 3), (1, 3), (2, 3), (3, 3), (9, 3), (999, 1000))] == [100, 0, 33, 66, 100, 100, 99]
+    out = io.StringIO()
+    with progress.Progress(spark, out, every=0.02):
+        spark.range(0, 8, 1, 8).rdd.map(lambda x: time.sleep(0.1)).count()
+    events = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert events and all(e["event"] == "progress" and 0 <= e["done"] <= e["total"] for e in events) and events[-1]["percent"] == 100
+
+
+def test_files_are_read_ahead_and_stay_the_same(tmp_path):
+    from nitscope.plans import samples
+
+    entry = samples.sample_entry(samples.hevc_sps(640, 480), 640, 480, 10, 16, None)
+    for where in ("front", "end", "none"):
+        path = tmp_path / f"{where}.mp4"
+        path.write_bytes(samples.indexed(samples.fragmented_mp4(entry, [[m.sized(m.PICTURE)]] * 3, "run"), where))
+        data = reader.opened(str(path))
+        for full in (False, True):
+            reader.warm(str(path), data, full)
+        assert data[:] == path.read_bytes() and len(reader.extract.dispatch.demux(str(path), data)["tracks"][0]["units"]) == 3
+
+
+def test_long_values_go_on_below_themselves(spark):
+    from nitscope.plans import render
+
+    text = "General\n  " + "Color".ljust(20) + "BT.2020 / PQ (SMPTE ST 2084) / BT.2020 NCL / limited\n  " + "Name".ljust(20) + "x" * 50
+    df = spark.createDataFrame([(text,)], "t string").select(render.reflow(__import__("pyspark.sql.functions", fromlist=["x"]).col("t"), 44).alias("t"))
+    lines = df.first().t.split("\n")
+    assert lines[0] == "General" and lines[1] == "  " + "Color".ljust(20) + "BT.2020 / PQ (SMPTE ST" and lines[2] == " " * 22 + "2084) / BT.2020 NCL /" and lines[-1].endswith("x" * 50)
+    assert " ".join(" ".join(lines).split()) == " ".join(text.split())
