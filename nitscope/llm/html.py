@@ -100,9 +100,14 @@ class Block:
 
 @dataclass
 class _Open:
+    """An open element with what holds for all that lies in it: features (from the article inwards, where there is one),
+    label, whether it is in an article."""
+
     name: str
     features: frozenset[str]
     label: str
+    article: bool
+    landmark: bool
     first: int
     tag: list
     holds: bool = False
@@ -126,6 +131,7 @@ def read(html: str) -> list[Block]:
     stack: list[_Open] = []
     parts: list[str] = []
     tags: list[list] = []
+    open_names: Counter[str] = Counter()
     linked = total = silent = 0
     in_link, landmark = False, False
 
@@ -134,14 +140,13 @@ def read(html: str) -> list[Block]:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            around = next((i for i, e in enumerate(stack) if e.name in LANDMARKS and not e.features & _OFF), 0)  # what holds the article says nothing of it
-            features = frozenset().union(*(e.features for e in stack[around:])) if stack else frozenset()
+            here = stack[-1] if stack else _Open("", frozenset(), "", False, False, 0, [])
+            features = here.features
             if linked >= 0.8 * total:
                 features |= {"links"}
-            if stack and stack[-1].name in HEADINGS:
+            if here.name in HEADINGS:
                 features |= {"heading"}
-            label = next((e.label for e in reversed(stack) if e.label), "off")
-            blocks.append(Block(text, features, text.count(" ") + 1, tags, label))
+            blocks.append(Block(text, features, text.count(" ") + 1, tags, here.label or "off"))
             tags = []
         linked = total = 0
 
@@ -156,12 +161,22 @@ def read(html: str) -> list[Block]:
             total, linked = total + n, linked + n * in_link
 
     def place() -> str:
-        return "in " * any((e.name in LANDMARKS or e.features & _MAIN) and not e.features & _OFF for e in stack)
+        return "in " * bool(stack and stack[-1].article)
+
+    def opened(name: str, attrs: str) -> _Open:
+        own, label = _frame(name, attrs)
+        outer = stack[-1] if stack else None
+        is_landmark, off = name in LANDMARKS, own & _OFF
+        article = bool(outer and outer.article) or bool(is_landmark or own & _MAIN) and not off
+        inside = bool(outer and outer.landmark)
+        first = is_landmark and not off and not inside  # what holds the article says nothing of it
+        return _Open(name, own if first or not outer else outer.features | own, label or (outer.label if outer else ""), article, inside or first, len(blocks), tags[-1])
 
     def close() -> _Open:
         nonlocal silent
         e = stack.pop()
         silent -= e.name in SILENT
+        open_names[e.name] -= 1
         e.tag[0], e.tag[2] = e.tag[0] + "*" * e.holds, len(blocks)
         return e
 
@@ -183,7 +198,7 @@ def read(html: str) -> list[Block]:
         flush()
         in_link = False
         if m["end"]:
-            if any(e.name == name for e in stack):
+            if open_names[name]:
                 while (e := close()).name != name:
                     pass
                 tags.append([f"{place()}/{name}{'*' * e.holds}", e.first, len(blocks)])
@@ -194,11 +209,11 @@ def read(html: str) -> list[Block]:
                 close()
             if stack:
                 stack[-1].holds = True
-            attrs = m["attrs"] or ""
             tags.append([place() + name, len(blocks), 0])
-            stack.append(_Open(name, *_frame(name, attrs if not attrs.endswith("/") else attrs[:-1]), len(blocks), tags[-1]))
+            stack.append(opened(name, (m["attrs"] or "").removesuffix("/")))
+            open_names[name] += 1
             silent += name in SILENT
-            landmark |= name in LANDMARKS and not stack[-1].features & _OFF
+            landmark |= stack[-1].landmark
     text_of(at, len(html))
     flush()
     while stack:
@@ -223,7 +238,7 @@ def labelled_pages() -> list[str]:
     layouts += ["<div data-main>{}</div>", '<div class="{x}" data-main>{}</div>', '<div class="{x}"><div class="{x}" data-main>{}</div></div>']
     body = "<h1>Ato be</h1><p>Ce da ef go hi jo ku la me ni.</p><p>Op <a href='#'>qu</a> ra.</p><p>Si to um va we.</p>"
     more = "<h2>Sa</h2><h3>Si</h3><h4>So</h4><h5>Su</h5><h6>Sy</h6><p><a href='#'>La li</a></p><dl><dt>Ka</dt><dd>Ke</dd></dl><ul><li>Tu va</li><li>We <a href='#'>xi</a> yo zu</li></ul><blockquote>Ab ce di</blockquote><pre>x = 1</pre><figure><figcaption>Fa gu</figcaption></figure><table><tr><td>Ha</td><td>je</td></tr></table><div>Ki lo mu no.</div>Pe qi<div>Re su ti</div><div class='{x}'>Um vo</div><div><p>We xa</p><p>Ya zo</p></div><section><h2>Ab</h2><p>Ce di</p></section><section><p>Fo gu</p><p>Ha</p></section><h1>Je ki</h1>"
-    around, every, amid, apart, title = range(5)
+    around, every, apart, title = range(4)
     kinds = [("<nav data-off><ul><li><a href='/a'>Ab</a></li><li><a href='/c'>Ce</a></li></ul></nav>", every), ("<footer data-off>Ab ce di <p>fo gu</p></footer>", every), ("<aside data-off><p>Ab ce di fo</p></aside>", every)]
     kinds += [("<form data-off><p>Ab ce</p><label>di</label></form>", every), ("<header data-off><h2>Ab</h2><p>Ce di fo</p></header>", around), ("<header><h1 data-main>Ab ce</h1><p data-off>Di fo gu</p></header>", title)]
     kinds += [("<dialog data-off>Ab ce di</dialog>", every), ("<dialog data-off><p>Ab ce</p></dialog>", every), ("<fieldset data-off><legend>Ab</legend><p>Ce</p></fieldset>", every), ("<menu data-off><ul><li>Ab</li></ul></menu>", every), ("<div hidden data-off><p>Ab ce</p><p>Di</p></div>", every), ("<footer data-off><div>Ab</div><ul><li>Ce</li></ul></footer>", every), ("<aside data-off><h3>Ab</h3><ul><li>Ce</li></ul></aside>", every), ("<form data-off><div>Ab</div><p>Ce</p></form>", every), ("<nav data-off><p>Ab</p><h3>Ce</h3></nav>", every), ("<menu data-off><li>Ab</li></menu>", every), ("<div hidden data-off>Ab ce</div>", every), ("<ul data-off><li><a href='#'>Ab</a></li><li><a href='#'>Ce</a></li></ul>", around)]
@@ -241,7 +256,7 @@ def labelled_pages() -> list[str]:
             if name >= 0 and j != name % 3 and (name + j) % 6:  # named ones in a landmark and in a sixth of the layouts
                 continue
             outside = kind if where in (around, every, apart) else ""
-            within = kind if where in (every, amid) or where == title and j < 3 else ""
+            within = kind if where == every or where == title and j < 3 else ""
             main = layout.replace("{}", ("<p>Na</p>" if (i + j) % 4 == 3 else "") + body + within + (more if (i + j) % 2 else "") + "<p>Zo.</p>")
             page = f"<html><head><title>Ab</title></head>{outside}{main}{outside}</html>"
             out.append(page.replace("{x}", f"q{(7 * i + j) % 97}x"))  # digits are no part of a name: what is left is `q` and `x`

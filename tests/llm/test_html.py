@@ -141,3 +141,12 @@ def test_query_on_a_made_table(spark, tmp_path):
     got = sorted((tuple(r) for r in queries.op9_html(spark, str(tmp_path)).collect()), key=str)
     first = WANT.format("")
     assert got == sorted([(1, "u", first, len(first))] * 2 + [(None, None, "", 0), (3, "v", "Ab", 2)], key=str)
+
+
+def test_depth_costs_nothing():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<div>a" * 50_000, "<div>" * 100_000 + "a", "<p>a</p>" * 50_000, "<ul><li>" * 50_000, "</div>" * 100_000):
+        assert isinstance(html.main_text(page, MODEL), str)
+    assert time.perf_counter() - start < 30
