@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from nitscope.functions import labels, luminance
 from nitscope.functions.rpu import CENSUS
-from nitscope.operators import ordered
+from nitscope.operators import ordered, windows
 from nitscope.plans.kernels import dv_level
 from nitscope.runtime import materialize
 from nitscope.sources import reader
@@ -20,6 +19,8 @@ from nitscope.sources import reader
 VERSION = "2.4"
 KEYS = ["file", "track_idx"]
 CANVAS = (3840, 2160)
+#: Steps of the order (sixteen a frame) whose frames are compared within one task.
+FRAMES = 16 * 8192
 SECTIONS = {"general": ("container", "duration_secs"), "hdr": ("hdr",), "dv": ("dolby_vision",), "hdr10plus": ("hdr10plus",), "slhdr": ("sl_hdr",), "hdrvivid": ("hdr_vivid",)}
 
 
@@ -61,9 +62,8 @@ def rpu_facts(found: DataFrame, full: bool) -> DataFrame:
     areas = blocks.where("b.level = 5").withColumn("rect", F.struct("b.left", "b.right", "b.top", "b.bottom"))
     out = facts.join(ordered.distinct_in_order(areas, KEYS, "rect", at, name="rects"), KEYS, "left").join(trims(blocks, at), KEYS, "left")
     if full:
-        w = Window.partitionBy(*KEYS).orderBy("ord")
         with_dm = r.where(dm).select(*KEYS, "ord", "weight", F.col("rpu.fingerprint").alias("fp"))
-        pairs = with_dm.withColumn("prev", F.lag("fp").over(w))
+        pairs = windows.with_previous(with_dm, KEYS, ["ord"], "fp", chunk=F.floor(F.col("ord") / FRAMES))
         changed = F.sum(F.when(F.col("prev") != F.col("fp"), 1).otherwise(0))
         cadence = pairs.groupBy(*KEYS).agg((F.count("prev") + F.sum(F.col("weight") - 1)).alias("frame_pairs"), changed.alias("changed_pairs"))
         levels = ordered.census(r.where(dm), KEYS, F.filter(F.transform("rpu.blocks", lambda x: x["level"]), lambda x: x.isin(*CENSUS)), F.col("weight"))
