@@ -1,8 +1,11 @@
 import json
+import random
 
 import pytest
 
+from nitscope.functions import bits
 from nitscope.functions import rpu as rpu_functions
+from nitscope.plans import files
 from nitscope.sources import disc, dispatch, extract, mkv, mp4, raw, sidecar, ts
 from nitscope.sources.model import Unreadable
 from tests import media as m
@@ -289,3 +292,30 @@ def test_runs_without_sizes_are_as_long_as_the_file_allows():
     at = data.index(b"trun") + 8
     claimed = data[:at] + (1 << 31).to_bytes(4, "big") + data[at + 4 :]
     assert len(mp4.read(claimed)["tracks"][0]["units"]) == 50
+
+
+def test_dumps_are_dealt_over_tasks_however_small_their_table_is(spark, monkeypatch):
+    monkeypatch.setattr(files, "ROWS", 100)
+    df = files.rpu_dumps(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert df.count() == n and df.rdd.getNumPartitions() == -(-n // 100) > 1
+
+
+def test_checksums_and_codes_match_the_plain_loops():
+    rnd = random.Random(8)
+    for n in (0, 1, 2, 3, 4, 31, 300):
+        data = rnd.randbytes(n)
+        assert rpu_functions.crc32_mpeg(data) == m.crc32_mpeg(data)
+    for n in (0, 1, 3, 6, 300):
+        data = bytes(rnd.choice((0, 0, 0, 1, 128, 255)) for _ in range(n))
+        ones = [c == "1" for b in data for c in f"{b:08b}"]
+        for at in range(len(ones) + 1):
+            b = bits.Bits(data)
+            b.skip(at)
+            want = ones.index(True, at) - at if any(ones[at : at + 32]) else None
+            try:
+                got = b._zeros(31)
+                assert b.at == at + got + 1
+            except bits.Short:
+                got = None
+            assert got == want
