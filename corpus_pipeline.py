@@ -18,7 +18,8 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near copies stays: SimHash fingerprints over five-word shingles and, beyond their
+    distance, MinHash bands propose pairs; a similarity of 0.8 or more of the whole sets links them."""
     return simhash.keep_one(docs, minhash.near_copies)
 
 

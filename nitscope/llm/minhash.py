@@ -1,9 +1,13 @@
-"""Near copies by similarity: MinHash bands for candidates, exact Jaccard similarity of word shingles, components.
+"""Near copies: SimHash fingerprints and, for what lies further apart, MinHash bands; exact Jaccard similarity of word
+shingles decides; components.
 
 Two texts are near copies if the sets of their shingles of `SHINGLE` words have a Jaccard similarity of `LEAST` or more.
-Every text stands under `BANDS` values of `ROWS` minima each; a pair at the least similarity shares none of them with a
-probability of (1 - 0.8^5)^40 = 1.3e-7, and every pair that shares one is decided by its whole sets. Equal sets are one
-vertex. In a value's bucket of at most `BUCKET` vertices all pairs are candidates.
+Equal sets are one vertex. Every set has a SimHash fingerprint, filed as in `simhash` under its pairs of blocks, here of
+`BLOCKS`: so all pairs that differ in at most `DISTANCE` bits meet, and these are candidates. At a similarity of 0.8 sets
+are expected about ten bits apart, where no filing by blocks is selective; so every text also stands under `BANDS` values
+of `ROWS` minima each; a pair at the least similarity shares none of them with a probability of (1 - 0.8^5)^40 = 1.3e-7.
+Every candidate is decided by its whole sets. In a bucket (a filing or a value) of at most `BUCKET` vertices all pairs are
+looked at.
 
 Of the vertices of larger buckets, most pairs are far apart, and there may be thousands. They are filed a second time,
 exactly: under the rarest of their shingles among these vertices, one more than a fifth of them, for sets of a similarity
@@ -28,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nitscope.llm.simhash import HOT_SHARE, SEED, components
+from nitscope.llm.simhash import HOT_SHARE, SEED, apart, components, filings, majority
 from nitscope.runtime import materialize
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 40, 5
 BUCKET = 32
+#: Blocks of a fingerprint, of which any two make a filing of at least 25 bits; bits in which candidates may differ.
+BLOCKS, DISTANCE = 5, 3
 #: Slots of the table by which shingles are put in order.
 SLOTS = 1 << 17
 #: Below any difference of products of whole numbers and `LEAST` that counts.
@@ -78,7 +84,7 @@ def _signed(values) -> pa.Array:
 
 
 def _sets(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, id long, size int, values array<long>) for every row."""
+    """(key, id long, size int, fp long, values array<long>) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(i, HELD) for b in batches for i in range(0, b.num_rows, HELD)):
@@ -86,10 +92,10 @@ def _sets(docs: DataFrame, text: str, key: str) -> DataFrame:
             values = [_bands(s) for s in sets]
             ends = np.cumsum([0, *map(len, values)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed([x for v in values for x in v]))
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed([_name(s) for s in sets]), pa.array(map(len, sets), pa.int32()), flat], names=["key", "id", "size", "values"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed([_name(s) for s in sets]), pa.array(map(len, sets), pa.int32()), _signed([majority(s) for s in sets]), flat], names=["key", "id", "size", "fp", "values"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"key {kind}, id long, size int, values array<long>")
+    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"key {kind}, id long, size int, fp long, values array<long>")
 
 
 def _whole_sets(texts: DataFrame) -> DataFrame:
@@ -125,13 +131,24 @@ def _may_be(size_a, place_a, size_b, place_b):
     return _shares(size_a, place_a, size_b) & _shares(size_b, place_b, size_a)
 
 
-def _pairs(filed: DataFrame, value: str) -> DataFrame:
-    """(u, v), u < v: all pairs under a value whose sizes, and places if they are known, allow the least similarity."""
-    placed = "place" in filed.columns
-    columns = ["id", "size", *["place"] * placed]
-    left, right = (filed.select(value, *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "uv")
-    allowed = _may_be(F.col("size_u"), F.col("place_u"), F.col("size_v"), F.col("place_v")) if placed else _sizes_allow(F.col("size_u"), F.col("size_v"))
-    return left.join(right, value).where((F.col("id_u") < F.col("id_v")) & allowed).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+def _pairs(filed: DataFrame, *by: str) -> DataFrame:
+    """(u, v), u < v: all pairs under one `by` whose sizes, and places and fingerprints if they are known, allow them."""
+    known = [c for c in ("place", "fp") if c in filed.columns]
+    left, right = (filed.select(*by, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "size", *known))) for x in "uv")
+    allowed = _may_be(F.col("size_u"), F.col("place_u"), F.col("size_v"), F.col("place_v")) if "place" in known else _sizes_allow(F.col("size_u"), F.col("size_v"))
+    if "fp" in known:
+        allowed &= apart("fp_u", "fp_v") <= DISTANCE
+    return left.join(right, list(by)).where((F.col("id_u") < F.col("id_v")) & allowed).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+
+
+def by_fingerprints(vertices: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """((u, v), (id)) for `vertices` (id, size, fp): the pairs at most `DISTANCE` bits apart whose sizes allow the least
+    similarity, and those that stand in a filing of more than `bucket`, whose pairs are not among them."""
+    filed = filings(vertices.where("size > 0").select("id", "size", "fp"), BLOCKS)
+    sizes = filed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(filed.join(sizes, ["t", "k"]), "copies-filings")
+    close = materialize(_pairs(met.where(F.col("n") <= bucket), "t", "k").distinct(), "copies-close")
+    return close, met.where(F.col("n") > bucket).select("id").distinct()
 
 
 def _rare_shingles(sets: DataFrame) -> DataFrame:
@@ -155,19 +172,20 @@ def _rare_shingles(sets: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """(key, component) for every row of `docs`; component is the smallest key reachable over near copies."""
     rows = materialize(_sets(docs, text, key), "copies-rows")
-    vertices = materialize(rows.groupBy("id").agg(F.min("key").alias("first"), F.count("*").alias("n")), "copies-vertices")
+    vertices = materialize(rows.groupBy("id").agg(F.min("key").alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp")), "copies-vertices")
+    close, crowded = by_fingerprints(vertices, bucket)
     filed = rows.select("id", "size", F.explode("values").alias("value")).distinct()
     sizes = filed.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(filed.join(sizes, "value"), "copies-met")
-    # Only texts that stand in a bucket with others are read again for their sets.
+    # Only texts that stand in a bucket with others or have a fingerprint close to another's are read again for their sets.
     alone = F.col(f"`{key}`").alias("key")
-    asked = met.select("id").distinct()
+    asked = met.select("id").unionByName(close.select(F.explode(F.array("u", "v")).alias("id"))).unionByName(crowded).distinct()
     wanted = rows.select("key", "id").join(asked, "id").select("key").distinct()
     again = docs.select(alone, F.col(f"`{text}`").alias("text"))
     again = again.join(wanted, again["key"].eqNullSafe(wanted["key"]), "left_semi").select("text").distinct()
     sets = materialize(_whole_sets(again).join(asked, "id", "left_semi").dropDuplicates(["id"]), "copies-sets")
     near = _pairs(met.where(F.col("n") <= bucket), "value")
-    many = met.where(F.col("n") > bucket).select("id").distinct()
+    many = met.where(F.col("n") > bucket).select("id").unionByName(crowded).distinct()
     rare = materialize(_rare_shingles(sets.join(many, "id", "left_semi")), "copies-filed")
     best = F.max(F.struct("score", "id", "size"))
     under = rare.groupBy("shingle").agg(F.count("*").alias("n"), best.alias("hub"), F.min("size").alias("least")).where("n > 1")
@@ -176,7 +194,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket
     crowd = materialize(crowd.select("shingle", "id", "size", "place", "n", F.col("hub.id").alias("hub"), F.col("hub.size").alias("hub_size")), "copies-crowd")
     large = crowd.where(F.col("n") > bucket)
     star = large.where((F.col("id") != F.col("hub")) & _sizes_allow(F.col("size"), F.col("hub_size"))).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
-    candidates = materialize(near.unionByName(_pairs(crowd.where(F.col("n") <= bucket), "shingle")).unionByName(star).distinct(), "copies-candidates")
+    candidates = materialize(close.unionByName(near).unionByName(_pairs(crowd.where(F.col("n") <= bucket), "shingle")).unionByName(star).distinct(), "copies-candidates")
     edges = materialize(_similar(candidates, sets), "copies-edges")
     roots = components(edges)
     if not large.isEmpty():

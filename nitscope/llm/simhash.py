@@ -33,6 +33,20 @@ HOT_SHARE = 0.001
 CHUNK = 1 << 17
 
 
+def _ones(hashes) -> np.ndarray:
+    """How many of the hashes have each bit, the highest first."""
+    return np.unpackbits(np.asarray(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _over_half(ones: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes, each of which counts once; 0 of none."""
+    return _over_half(sum((_ones(hashes[a : a + CHUNK]) for a in range(0, len(hashes), CHUNK)), np.zeros(BITS, np.int64)), len(hashes))
+
+
 def fingerprint(text: str | None) -> int:
     """Bit b is 1 if it is 1 in over half of the shingles' hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -46,9 +60,8 @@ def fingerprint(text: str | None) -> int:
     stops, h = ends[SHINGLE - 1 :].tolist(), xxhash.xxh64_intdigest
     ones = np.zeros(BITS, np.int64)
     for a in range(0, n, CHUNK):
-        part = np.array([h(line[i:j], SEED) for i, j in zip(starts[a : a + CHUNK], stops[a : a + CHUNK])], ">u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+        ones += _ones([h(line[i:j], SEED) for i, j in zip(starts[a : a + CHUNK], stops[a : a + CHUNK])])
+    return _over_half(ones, n)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -63,14 +76,18 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"key {kind}, fp long")
 
 
-def _block(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, i * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1)
+def filings(fps: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """(t, k) and the columns of `fps`: one row for each pair of blocks of fp. Fingerprints that differ in at most
+    `blocks` - 2 bits have a filing in common."""
+    ends = [BITS * i // blocks for i in range(blocks + 1)]
+    part = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << z - a) - 1) for a, z in zip(ends, ends[1:])]
+    pairs = [F.struct(F.lit(t).alias("t"), F.shiftleft(part[i], ends[j + 1] - ends[j]).bitwiseOR(part[j]).alias("k")) for t, (i, j) in enumerate(combinations(range(blocks), 2))]
+    return fps.select(*fps.columns, F.explode(F.array(*pairs)).alias("f")).select("f.t", "f.k", *fps.columns)
 
 
-def _filings(fps: DataFrame) -> DataFrame:
-    """(t, k, fp): one row for each pair of blocks."""
-    pairs = [F.struct(F.lit(t).alias("t"), F.shiftleft(_block(F.col("fp"), i), BLOCK_BITS).bitwiseOR(_block(F.col("fp"), j)).alias("k")) for t, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
-    return fps.select("fp", F.explode(F.array(*pairs)).alias("f")).select("f.t", "f.k", "fp")
+def apart(u, v) -> Column:
+    """The number of bits in which two fingerprints differ."""
+    return F.bit_count(F.col(u).bitwiseXOR(F.col(v)))
 
 
 def _flip_masks() -> Column:
@@ -85,12 +102,12 @@ def _flip_masks() -> Column:
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(u, v), u < v: edges between different fingerprints whose components are those of all links of at most two bits.
     `fps` must hold each fingerprint once."""
-    filed = _filings(fps)
+    filed = filings(fps)
     sizes = filed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(filed.join(sizes, ["t", "k"]), "simhash-met")
     few, many = met.where(F.col("n") <= bucket).drop("n"), met.where(F.col("n") > bucket)
     other = few.withColumnRenamed("fp", "v")
-    near = few.withColumnRenamed("fp", "u").join(other, ["t", "k"]).where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)).select("u", "v")
+    near = few.withColumnRenamed("fp", "u").join(other, ["t", "k"]).where((F.col("u") < F.col("v")) & (apart("u", "v") <= DISTANCE)).select("u", "v")
     around = many.select("fp", "t", F.explode(F.get(_flip_masks(), F.col("t"))).alias("m")).select("fp", "t", F.col("fp").bitwiseXOR(F.col("m")).alias("point"))
     centre = around.groupBy("t", "point").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
     star = around.join(centre, ["t", "point"]).where(F.col("fp") > F.col("u")).select("u", F.col("fp").alias("v"))
