@@ -24,10 +24,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +52,8 @@ LEAST_TOKENS, GROWTH = 1 << 22, 1 / 3
 FLUSH, HELD = 100_000, 500
 #: Words whose neighbours are counted at a time.
 CELLS = 1 << 17
+#: Bytes of text whose words are looked up at a time: each time the table of the words is built anew.
+BYTES = 1 << 23
 BLOCK = 1 << 14
 NEVER = -1e9
 
@@ -61,6 +63,19 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (see `words_of`) of all texts one after the other, as bytes, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    # space before the first word, or after the last, leaves an empty one
+    real = pc.binary_length(words).to_numpy() > 0
+    before = np.concatenate(([0], np.cumsum(real)))
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
+    sizes = np.diff(before[ends], prepend=0)
+    # cast now, when nothing is a slice: casts of slices of large strings read from wrong places
+    return (words if real.all() else words.filter(pa.array(real))).cast(pa.binary()), sizes
+
+
 def _slices(batches: Iterator[pa.RecordBatch], n: int = HELD) -> Iterator[pa.RecordBatch]:
     return (b.slice(i, n) for b in batches for i in range(0, b.num_rows, n))
 
@@ -102,16 +117,15 @@ def count_neighbours(texts: DataFrame, vocab: list[bytes], text: str = "text") -
     """(VOCAB, 2 * (NEAR + 1)): how often each word stands before and after each of the first `NEAR`, or any other word,
     over all texts. Tasks count into one table each, whose cells are summed in one shuffle; no more cells than those of
     one table come to the driver."""
-    ids, width = {w: i for i, w in enumerate(vocab)}, 2 * (NEAR + 1)
+    width = 2 * (NEAR + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = np.zeros(VOCAB * width, np.int64)
-        for _, texts in _held(batches, 0, CELLS):
-            words = [w for t in texts for w in (*t, None)]
-            seq = np.fromiter(map(ids.get, words, repeat(-1)), np.int32, len(words))
-            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
-            inner = np.ones(len(seq), bool)
-            inner[ends] = False
+        for _, _, found, sizes in _held(batches, 0, pa.array(vocab, pa.binary()), CELLS):
+            inner = np.ones(len(found) + len(sizes), bool)
+            inner[np.cumsum(sizes + 1) - 1] = False
+            seq = np.full(len(inner), -1, np.int32)
+            seq[inner] = found
             edge = np.where((seq >= 0) & (seq < NEAR), seq, NEAR)
             x, y = np.flatnonzero((seq[:-1] >= 0) & inner[1:]), np.flatnonzero((seq[1:] >= 0) & inner[:-1])
             near += np.bincount(np.concatenate((seq[x] * width + edge[x + 1], seq[y + 1] * width + NEAR + 1 + edge[y])), minlength=len(near))
@@ -172,40 +186,44 @@ class Tokens:
     `vocab` has the places of its words; `named` are further words, of which the first `names` are contexts by name."""
 
     def __init__(self, vocab: dict[bytes, int], named: Sequence[bytes] = (), names: int = 0):
-        every = [*vocab, *named]
-        self.ids = {w: i for i, w in enumerate(every)}
-        self.context = np.array([(VOCAB + self.hashed(w)) if w else 0 for w in every] or [0], np.int64)
+        self.words = pa.array([*vocab, *named], pa.binary())
+        # one more, for the number -1 of unknown words, whose ids `read` puts in their places
+        self.context = np.append(VOCAB + self.hashed(self.words, np.arange(len(self.words))), 0)
         self.code = self.rare_class(self.context)
         self.context[: len(vocab)] = self.code[: len(vocab)] = list(vocab.values())
         self.context[len(vocab) : len(vocab) + names] = CONTEXTS + np.arange(min(names, len(named)))
 
     @staticmethod
-    def hashed(w: bytes) -> int:
-        return (w[-1] * 31 + w[0] * 7) & (BYTES_IDS - 1)
+    def hashed(words: pa.Array, at: np.ndarray) -> np.ndarray:
+        """A number under BYTES_IDS by the first and the last byte of the words at these places."""
+        if not len(at):
+            return np.zeros(0, np.int64)
+        _, offsets, data = words.buffers()
+        offsets, data = np.frombuffer(offsets, np.int32)[words.offset :], np.frombuffer(data, np.uint8)
+        first, last = data[offsets[at]].astype(np.int64), data[offsets[at + 1] - 1].astype(np.int64)
+        return (last * 31 + first * 7) & (BYTES_IDS - 1)
 
     @staticmethod
     def rare_class(context: np.ndarray) -> np.ndarray:
         return VOCAB + CLASSES + ((context - VOCAB) & (RARE - 1))
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(code, context, id) of each word. Codes: a place under VOCAB, or VOCAB + class; ids: -1 where unknown."""
-        found = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+    def read(self, words: pa.Array, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code, context) of each word, from its number among `self.words`, -1 where unknown. Codes: a place under VOCAB,
+        or VOCAB + class."""
         code, context = self.code[found], self.context[found]
         at = np.flatnonzero(found < 0)
-        if len(at):
-            context[at] = seen = np.array([VOCAB + ((w[-1] * 31 + w[0] * 7) & (BYTES_IDS - 1)) for w in map(words.__getitem__, at.tolist())])
-            code[at] = self.rare_class(seen)
-        return code, context, found
+        context[at] = seen = VOCAB + self.hashed(words, at)
+        code[at] = self.rare_class(seen)
+        return code, context
 
 
 class Positions:
     """The positions of some texts one after the other, each text's end included. `start` are the texts' first ones, `word`
     is where words stand; before a text's first word stands CONTEXTS - 1."""
 
-    def __init__(self, read: Tokens, texts: list[list[bytes]]):
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        self.words = [w for t in texts for w in t]
-        code, context, self.found = read.read(self.words)
+    def __init__(self, read: Tokens, words: pa.Array, found: np.ndarray, sizes: np.ndarray):
+        self.words, self.found, sizes = words, found, sizes + 1
+        code, context = read.read(words, found)
         end = np.cumsum(sizes) - 1
         n = int(sizes.sum())
         self.start, self.sizes, self.word = end + 1 - sizes, sizes, np.ones(n, bool)
@@ -229,16 +247,28 @@ class Positions:
             yield self.code[a : a + STEP], self.before[a : a + STEP], self.skip[a : a + STEP]
 
 
-def _held(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Slices of the batches with the words of their texts: few enough that a slice has about `tokens` of them, or one text."""
-    for b in batches:
-        first, texts, size = 0, [], 0
-        for i in range(b.num_rows):
-            texts.append(words_of(b.column(column)[i].as_py()))
-            size += len(texts[-1]) + 1
-            if size >= tokens or i + 1 == b.num_rows:
-                yield b.slice(first, len(texts)), texts
-                first, texts, size = i + 1, [], 0
+def _held(batches: Iterator[pa.RecordBatch], column: int, known: pa.Array, tokens: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """Slices of the batches with the words of their texts one after the other, the words' numbers among `known` (-1: not
+    there) and how many each text has: few enough that a slice has about `tokens` of them, or one text."""
+    for batch in batches:
+        for b in _cut(batch, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), BYTES):
+            words, sizes = split(b.column(column))
+            found = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+            first = at = 0
+            for part in _cut(b, sizes + 1, tokens):
+                mine = sizes[first : first + part.num_rows]
+                n = int(mine.sum())
+                yield part, words.slice(at, n), found[at : at + n], mine
+                first, at = first + part.num_rows, at + n
+
+
+def _cut(b: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices that end with the row that brings their rows' sizes to `most`."""
+    ends, first, done = np.cumsum(sizes, dtype=np.int64), 0, 0
+    while first < b.num_rows:
+        after = min(int(np.searchsorted(ends, done + most)) + 1, b.num_rows)
+        yield b.slice(first, after - first)
+        first, done = after, int(ends[after - 1])
 
 
 def _parts(model, code, before, skip):
@@ -395,8 +425,8 @@ def train_round(texts: DataFrame, model: dict, vocab: dict[bytes, int], text: st
         mine = {k: v.copy() for k, v in model.items()}
         seen = {k: np.zeros_like(v) for k, v in model.items() if "bias" not in k}
         used = 0
-        for _, texts in _held(batches, 0, 4 * STEP):
-            p = Positions(read, texts)
+        for _, *held in _held(batches, 0, read.words, 4 * STEP):
+            p = Positions(read, *held)
             for part in p.slices():
                 steps(mine, seen, *part)
             used += len(p.code)
@@ -477,8 +507,8 @@ def score(docs: DataFrame, fitted: dict, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, scorer, tenth = Tokens(vocab, named, names), Scorer(model), np.log(10)
         log_end = float(np.log10(end + ALPHA))
-        for b, texts in _held(batches, len(columns) - len(new), 8 * STEP):
-            p = Positions(read, texts)
+        for b, *held in _held(batches, len(columns) - len(new), read.words, 8 * STEP):
+            p = Positions(read, *held)
             old, rare = p.found >= 0, p.code[p.word] >= VOCAB
             mine = np.where(old, log_known[p.found], 0.0)
             log = np.add.reduceat(np.concatenate([scorer.log_probs(*part) for part in p.slices()]), p.start) / tenth
@@ -486,7 +516,7 @@ def score(docs: DataFrame, fitted: dict, text: str = "text") -> DataFrame:
             inner = p.sums(np.where(rare, mine - rare_log[groups], 0.0))
             strange = np.flatnonzero(~old)
             offsets = np.concatenate(([0], np.cumsum(p.sums((~old).astype(np.int64)))))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([p.words[i] for i in strange.tolist()], pa.binary()).cast(pa.string()))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), p.words.take(pa.array(strange)).view(pa.string()))
             arrays = [pa.array(p.sizes), pa.array(p.sums(old.astype(np.int64)) + (end > 0)), pa.array(p.sums(mine) + log_end), pa.array(inner), pa.array(log), lists]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=columns)
 

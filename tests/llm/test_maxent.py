@@ -1,7 +1,11 @@
 import math
+import time
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from nitscope.llm import maxent
@@ -83,3 +87,51 @@ def test_neighbours_are_counted_over_all_whole_texts(spark):
     other, after = maxent.NEAR, maxent.NEAR + 1
     assert (near[0, 1], near[1, 0], near[1, after], near[0, after + 1], near[1, after + other]) == (2500, 1, 2500, 1, 1)
     assert near.sum() == 2 * 2500 + 3
+
+
+def test_every_word_is_read_as_split_by_hand(monkeypatch):
+    """Odd characters beside and within words, nulls, empty texts, all string types, and cuts after any text."""
+    odd = [f"{chr(i)}A{chr(i)}bÇ{chr(i)}{chr(i)}z{chr(i)}" for i in range(0x300)]
+    texts = ["", None, *(r[1] for r in ROWS), " ", "😀 𝒳", "\x85a\xa0b\u2003c", *odd, None, ""]
+    want, known = [maxent.words_of(t) for t in texts], [b"a", b"the", "ç".encode(), "😀".encode()]
+    monkeypatch.setattr(maxent, "words_of", None)
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(["x y", *texts], kind)], names=["text"]).slice(1)
+        for size, tokens in ((1, 1), (50, 7), (1 << 23, 300), (1 << 23, 1 << 20)):
+            monkeypatch.setattr(maxent, "BYTES", size)
+            held = list(maxent._held(iter([batch, batch.slice(0, 0)]), 0, pa.array(known, pa.binary()), tokens))
+            assert [t for part, *_ in held for t in part.column(0).to_pylist()] == texts
+            assert [n for *_, sizes in held for n in sizes] == [len(w) for w in want]
+            assert [w for _, words, *_ in held for w in words.to_pylist()] == [w for t in want for w in t]
+            assert [known[i] if i >= 0 else None for *_, found, _ in held for i in found] == [w if w in known else None for t in want for w in t]
+            assert all(len(sizes) == part.num_rows and len(words) == len(found) == sizes.sum() for part, words, found, sizes in held)
+    assert list(maxent._held(iter([batch]), 0, pa.array([], pa.binary()), 1 << 20))[0][2].max() == -1
+
+
+def test_reading_costs_less_than_one_look_up_a_word():
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").combine_chunks().slice(0, 1500)
+    batch = pa.RecordBatch.from_arrays([texts if isinstance(texts, pa.Array) else texts.chunk(0)], names=["text"])
+    plain = [maxent.words_of(t) for t in batch.column(0).to_pylist()]
+    counts = Counter(w for t in plain for w in t)
+    words = [w for w, _ in counts.most_common(maxent.COUNTED)]
+    read, ids = maxent.Tokens({w: i for i, w in enumerate(words[: maxent.VOCAB])}, words[maxent.VOCAB :]), {w: i for i, w in enumerate(words)}
+
+    def by_arrow():
+        return sum(len(maxent.Positions(read, *held).code) for _, *held in maxent._held(iter([batch]), 0, read.words, 4 * maxent.STEP))
+
+    def by_hand():
+        n = 0
+        for i in range(batch.num_rows):
+            t = maxent.words_of(batch.column(0)[i].as_py())
+            n += len(np.fromiter(map(ids.get, t, repeat(-1)), np.int64, len(t))) + 1
+        return n
+
+    def least(f):
+        times = []
+        for _ in range(3):
+            start = time.process_time()
+            assert f() == sum(map(len, plain)) + len(plain)
+            times.append(time.process_time() - start)
+        return min(times)
+
+    assert least(by_arrow) < 0.8 * least(by_hand)
